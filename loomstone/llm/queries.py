@@ -12,6 +12,7 @@ from .canonical_values import NO_BRAND, clean_sql, map_values
 from .layout_copies import collapse_copies, copy_pairs
 from .lookalike import found_fields, normalise_lookalikes
 from .same_product import product_groups, product_pairs
+from .sentences import sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +49,10 @@ def _p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def _p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": _p1_found,
     "p1_forms": _p1_forms,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "p5_groups": _p5_groups,
     "p7_found": _p7_found,
     "p8_ids": _p8_ids,
+    "p10_found": _p10_found,
 }
 
 _CASES = (
