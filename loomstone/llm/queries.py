@@ -11,6 +11,7 @@ from .bpe import encode_corpus
 from .canonical_values import NO_BRAND, clean_sql, map_values
 from .layout_copies import collapse_copies, copy_pairs
 from .lookalike import found_fields, normalise_lookalikes
+from .markup import clean_listings, marked_fields
 from .same_product import product_groups, product_pairs
 from .sentences import sentences
 
@@ -33,6 +34,14 @@ def _p2_listings(spark: SparkSession, d: str) -> DataFrame:
     return collapse_copies(table(spark, d, "amazon_raw")).select("row_id", "title", "brand", "n_copies")
 
 
+def _p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return marked_fields(table(spark, d, "amazon_raw"), "row_id", ["title", "main_cat", "description"])
+
+
+def _p4_listings(spark: SparkSession, d: str) -> DataFrame:
+    return clean_listings(table(spark, d, "amazon_raw"), table(spark, d, "category_list"))
+
+
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     return product_pairs(table(spark, d, "walmart"), table(spark, d, "amazon_raw"))
 
@@ -58,6 +67,8 @@ QUERIES: dict[str, Query] = {
     "p1_forms": _p1_forms,
     "p2_found": _p2_found,
     "p2_listings": _p2_listings,
+    "p4_found": _p4_found,
+    "p4_listings": _p4_listings,
     "p5_found": _p5_found,
     "p5_groups": _p5_groups,
     "p7_found": _p7_found,
