@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..runtime import table
 from .bpe import encode_corpus
 from .canonical_values import NO_BRAND, clean_sql, map_values
+from .languages import listing_languages, missing_or_wrong
 from .layout_copies import collapse_copies, copy_pairs
 from .lookalike import found_fields, normalise_lookalikes
 from .markup import clean_listings, marked_fields
+from .residue import exclude_residue, score_residue
 from .same_product import product_groups, product_pairs
 from .sentences import sentences
 
@@ -34,6 +36,14 @@ def _p2_listings(spark: SparkSession, d: str) -> DataFrame:
     return collapse_copies(table(spark, d, "amazon_raw")).select("row_id", "title", "brand", "n_copies")
 
 
+def _p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return score_residue(table(spark, d, "walmart")).filter("is_residue").select("item_id").distinct()
+
+
+def _p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    return exclude_residue(table(spark, d, "walmart"))
+
+
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     return marked_fields(table(spark, d, "amazon_raw"), "row_id", ["title", "main_cat", "description"])
 
@@ -50,6 +60,14 @@ def _p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return product_groups(table(spark, d, "walmart"), table(spark, d, "amazon_raw"))
 
 
+def _p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return missing_or_wrong(table(spark, d, "walmart"), table(spark, d, "amazon_raw"), table(spark, d, "lang_cache"))
+
+
+def _p6_languages(spark: SparkSession, d: str) -> DataFrame:
+    return listing_languages(table(spark, d, "walmart"), table(spark, d, "amazon_raw"), table(spark, d, "lang_cache"))
+
+
 def _p7_found(spark: SparkSession, d: str) -> DataFrame:
     return map_values(table(spark, d, "amazon_raw"), table(spark, d, "brand_list"))
 
@@ -67,10 +85,14 @@ QUERIES: dict[str, Query] = {
     "p1_forms": _p1_forms,
     "p2_found": _p2_found,
     "p2_listings": _p2_listings,
+    "p3_found": _p3_found,
+    "p3_kept": _p3_kept,
     "p4_found": _p4_found,
     "p4_listings": _p4_listings,
     "p5_found": _p5_found,
     "p5_groups": _p5_groups,
+    "p6_found": _p6_found,
+    "p6_languages": _p6_languages,
     "p7_found": _p7_found,
     "p8_ids": _p8_ids,
     "p10_found": _p10_found,
