@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ..runtime import spread
 from .arrowtext import single
@@ -230,7 +231,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str, name: str = "n_tokens") -> DataFrame:
     """(all columns of df, name BIGINT): the tokens of each text by a public tokenizer, 0 for null and empty texts."""
-    schema = df.schema.add(name, "bigint")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,4 +248,4 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: str, name: str =
                 part = batch.slice(lo, 2000)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(count(part.column(at).to_pylist()), pa.int64())], names=[*part.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)

@@ -13,6 +13,7 @@ from .languages import listing_languages, missing_or_wrong
 from .layout_copies import collapse_copies, copy_pairs
 from .lookalike import found_fields, normalise_lookalikes
 from .markup import clean_listings, marked_fields
+from .packing import pack, space_left
 from .residue import exclude_residue, score_residue
 from .same_product import product_groups, product_pairs
 from .sentences import sentences
@@ -76,6 +77,14 @@ def _p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def _p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"), table(spark, d, "container_sizes"))
+
+
+def _p9_space(spark: SparkSession, d: str) -> DataFrame:
+    return space_left(_p9_packed(spark, d), table(spark, d, "container_sizes"))
+
+
 def _p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"))
 
@@ -95,6 +104,8 @@ QUERIES: dict[str, Query] = {
     "p6_languages": _p6_languages,
     "p7_found": _p7_found,
     "p8_ids": _p8_ids,
+    "p9_packed": _p9_packed,
+    "p9_space": _p9_space,
     "p10_found": _p10_found,
 }
 
