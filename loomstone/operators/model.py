@@ -32,7 +32,7 @@ def linear(kind: str = "svm", alpha: float = 1e-4, penalty: str = "l2", parallel
     if kind == "svm":
         if penalty != "l2":
             raise ValueError("hinge loss has an l2 penalty only")
-        each = LinearSVC(regParam=alpha, standardization=False, maxIter=30, weightCol="weight")
+        each = LinearSVC(regParam=alpha, standardization=False, maxIter=15, tol=1e-3, weightCol="weight")
         head = OneVsRest(classifier=each, labelCol="target", featuresCol="features", weightCol="weight", parallelism=parallelism)
     else:
         head = LogisticRegression(regParam=alpha, elasticNetParam=1.0 if penalty == "l1" else 0.0, standardization=False, maxIter=30, weightCol="weight", labelCol="target", featuresCol="features")
