@@ -71,7 +71,6 @@ def tables() -> dict[str, np.ndarray]:
             plain = unicodedata.normalize("NFKC", ch)
             if kind[0] in "LN":
                 flag[c] = FULL_WIDTH
-            if kind[0] in "LN" or c < 0xFF5F:
                 parts[c] = [ord(x) for x in unicodedata.normalize("NFD", plain)]
         elif decomposed.startswith("<font>") or 0xFB00 <= c <= 0xFB06:
             if kind[0] in "LN":
@@ -156,6 +155,8 @@ def _compose(cps: np.ndarray, row: np.ndarray, t: dict) -> tuple[np.ndarray, np.
 
 def normalise_batch(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code points, offsets, flags of each text) of the one form."""
+    if not len(cps):
+        return cps, offsets, np.zeros(len(offsets) - 1, np.int64)
     t = tables()
     n, row = len(offsets) - 1, _rows(offsets)
     seen = t["flag"][cps].copy()
@@ -171,7 +172,7 @@ def normalise_batch(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     ends = np.zeros(len(cps) + 1, np.int64)
     np.cumsum(counts, out=ends[1:])
     source = np.repeat(t["where"][cps] - ends[:-1], counts) + np.arange(ends[-1])
-    out = t["pool"][np.minimum(source, len(t["pool"]) - 1)].copy() if len(cps) else cps
+    out = t["pool"][source]
     out[ends[fine]] = cps[fine]
     out, row = _compose(out, np.repeat(row, counts), t)
 

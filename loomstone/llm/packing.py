@@ -35,13 +35,13 @@ def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capac
     if not n:
         return where
     least = max(1, -(-int(sizes.sum()) // capacity))
-    # number the clusters that repeat here; a share of a cluster has at most half as many copies as containers
+    # number the clusters that repeat here; one with more copies than half the containers is cut into smaller shares
     order = np.argsort(clusters, kind="stable")
     ranked = clusters[order]
     fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    share = (np.arange(n) - start) // max(1, least // 2)
     count = np.bincount(np.cumsum(fresh) - 1)[np.cumsum(fresh) - 1]
+    share = np.where(count > least // 2, (np.arange(n) - start) // max(1, least // 8), 0)
     key = np.cumsum(fresh | np.concatenate([[False], share[1:] != share[:-1]])) - 1
     number = np.full(n, -1, np.int64)
     number[order] = np.where(count > 1, key, -1)
@@ -117,7 +117,7 @@ def pack(documents: DataFrame, containers: DataFrame, key: str = "doc_id", text:
     totals = {r[0]: (int(r[1] or 0), int(r[2])) for r in sizes.groupBy("tokenizer").agg(F.sum("size"), F.count("*")).collect()}
     kinds = documents.sparkSession.createDataFrame([(c, t, cap, max(1, -(-totals.get(t, (0, 0))[0] // (cap * CHUNK_BINS)), -(-totals.get(t, (0, 0))[1] // CHUNK_ITEMS))) for c, t, cap in wanted], "container_id bigint, tokenizer string, capacity bigint, chunks bigint")
     chunk = F.pmod(F.xxhash64(key, "container_id"), F.col("chunks"))
-    items = sizes.join(F.broadcast(kinds), "tokenizer")  # as many rows as container_sizes, which is read to the driver above
+    items = sizes.join(kinds, "tokenizer")  # Spark broadcasts the few rows by their known size
     full = F.when(F.col("size") > F.col("capacity"), F.floor(F.col("size") / F.col("capacity"))).otherwise(F.lit(0)).cast("bigint")
     items = items.select("container_id", "capacity", chunk.alias("chunk"), key, "size", full.alias("full"), "cluster", "source_hash")
     kind = documents.schema[key].dataType.simpleString()
