@@ -24,7 +24,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_weights(df: DataFrame, label: str) -> DataFrame:
-    return df.join(class_weights(df, label).select(label, "weight"), label)
+    return df.drop("weight").join(class_weights(df, label).select(label, "weight"), label)
 
 
 def linear(kind: str = "svm", alpha: float = 1e-4, penalty: str = "l2", parallelism: int = 4, **kw) -> Pipeline:

@@ -14,6 +14,7 @@ from ..operators import model as M
 from ..operators import phrases as P
 from ..operators import prune as R
 from ..operators.language_filter import fill_from_cache, keep_language
+from ..runtime import cut_lineage
 
 
 def repair_category(c: Column) -> Column:
@@ -25,23 +26,24 @@ def curate(raw: DataFrame, order: str = "row_id", least_category: int = 100, lea
     """The clean corpus out of the raw catalogue: (asin, title, brand, description, feature, main_cat, text).
 
     The order of the stages is part of the meaning: rows without text or label go first, then copies, then the tails
-    of the lengths, then small categories; brands are repaired, and the text is composed last.
+    of the lengths, then small categories; brands are repaired, and the text is composed last. Every cut reads its own
+    input twice, for the bound and for the rows, so the stages between are written: else the plan would double each time.
     """
     df = raw.select(order, "asin", X.join_list("description").alias("description"), "title", X.join_list("feature").alias("feature"), "brand", "main_cat")
     df = df.withColumns({c: X.null_if_empty(X.collapse_space(F.col(c))) for c in ("description", "title", "brand")})
     df = df.na.drop(subset=["asin", "description", "main_cat", "title"])
     df = D.chain_first_wins(df, [["asin"], ["description"]], order)
-    df = df.withColumn("description", X.strip_tags(F.col("description"))).filter(F.col("description") != "")
+    df = cut_lineage(df.withColumn("description", X.strip_tags(F.col("description"))).filter(F.col("description") != ""))
     df = R.trim_quantile(df, {"description": F.length("description")}, lower, upper)
-    df = df.withColumn("main_cat", repair_category(F.col("main_cat")))
+    df = cut_lineage(df.withColumn("main_cat", repair_category(F.col("main_cat"))))
     df = R.prune_small(df, "main_cat", least_category)
-    df = D.chain_first_wins(df, [["title", "brand"]], order)
+    df = cut_lineage(D.chain_first_wins(df, [["title", "brand"]], order))
     df = R.trim_central(df, {"title": F.length("title")}, 0.98)
-    df = df.withColumn("brand", B.repair_brand(F.col("brand")))
-    df = B.gazetteer_fill(df, "brand", "title").na.fill("", ["brand"])
+    df = cut_lineage(df.withColumn("brand", B.repair_brand(F.col("brand"))))
+    df = cut_lineage(B.gazetteer_fill(df, "brand", "title").na.fill("", ["brand"]))
     df = R.prune_small(df, "brand", least_brand)
     feature = X.chain(F.coalesce("feature", F.lit("")), F.lower, X.decode_entities, X.strip_tags, X.strip_brackets)
-    df = df.withColumn("feature", feature)
+    df = cut_lineage(df.withColumn("feature", feature))
     df = R.trim_iqr(df, F.length("feature"))
     return df.withColumn("text", X.compose_text(F.col("title"), F.col("description"), F.col("feature"), F.col("brand"))).drop(order)
 
@@ -54,8 +56,9 @@ def tokenise(df: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary_stage(clean: DataFrame, cache: DataFrame, key: str = "asin", least: int = 100) -> DataFrame:
     """(key, main_cat, tokens): English only, without stopwords, with the best phrases of each category joined."""
+    clean = cut_lineage(clean)
     lang = fill_from_cache(clean.select(key, "text"), cache, key, "text")
-    df = tokenise(keep_language(clean, lang, key)).withColumn("tokens", K.drop_stopwords("tokens"))
+    df = cut_lineage(tokenise(keep_language(clean, lang, key)).withColumn("tokens", K.drop_stopwords("tokens")))
     best = P.top_half(P.pmi(df, "tokens", "main_cat", least), "main_cat").select("a", "b").distinct()
     return df.select(key, "main_cat").join(P.mwe_join(df, key, "tokens", best), key)
 
@@ -70,7 +73,7 @@ def demo_table(retail: DataFrame, cut: Column, least: int = 10, keep_lang: bool
     df = df.filter(X.not_equal(F.col("main_cat"), "Shop by Brand"))
     df = df.withColumn("category", X.strip_ends(F.replace(X.strip_punct(F.col("category"), "|", " "), F.lit("  "), F.lit(" "))))
     df = df.withColumn("n_char", (F.length("title") + F.length("description") + F.length("brand")).cast("bigint"))
-    df = R.trim_quantile(df, {"n_char": F.col("n_char")}, 0.25, 1.0).filter(cut)
+    df = cut_lineage(R.trim_quantile(cut_lineage(df), {"n_char": F.col("n_char")}, 0.25, 1.0).filter(cut))
     df = R.prune_small(df, "main_cat", least + 1)
     return df if keep_lang else df.drop("lang")
 
