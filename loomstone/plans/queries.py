@@ -21,7 +21,7 @@ from ..operators import prune as R
 from ..operators import sampling as A
 from ..operators import vectorize as V
 from ..operators.language_filter import PROFILES, detect, fill_from_cache, keep_language
-from ..runtime import scratch_path, table
+from ..runtime import cut_lineage, scratch_path, table
 from ..sources import io
 from . import pipelines
 
@@ -743,7 +743,7 @@ def keyword_query(s, d):
 
 def _train(s: SparkSession, d: str) -> DataFrame:
     df = A.split_by_lot(written(s, d).filter(F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").alias("label")), "doc_id")
-    return M.with_weights(df, "label")
+    return cut_lineage(M.with_weights(df, "label"))  # as many partitions as its bytes need, and read in every iteration
 
 
 @query()
