@@ -16,12 +16,14 @@ them themselves then there these they this those through to too under until up v
 PIECES = "ain aren couldn didn doesn hadn hasn haven isn ll ma mightn mustn needn re shan shouldn ve wasn weren won wouldn".split()
 STOPWORDS = frozenset(DOMAIN_WORDS + FUNCTION_WORDS + PIECES)
 
-WORDS_UNICODE = r"(?U)\b\w\w+\b"
-WORDS_BOUND = r"(?i)\b[a-z_]{2,}\b"
+#: Python's ``\w``, in which marks aren't, and its ``[a-z]`` without case, in which four more letters are. Java's ``(?U)\w`` holds marks.
+_WORD, _LETTER = r"\p{L}\p{N}_", "A-Za-z_\u0130\u0131\u017f\u212a"
+WORDS_UNICODE = rf"[{_WORD}]{{2,}}"
+WORDS_BOUND = rf"(?<![{_WORD}])[{_LETTER}]{{2,}}(?![{_WORD}])"
 WORDS_SPLIT = r"(?i)[a-z_]{2,16}"
-WORDS_DEPLOYED = r"(?i)\b[a-z_]{2,16}\b"
+WORDS_DEPLOYED = rf"(?<![{_WORD}])[{_LETTER}]{{2,16}}(?![{_WORD}])"
 SPACE = r"\S+"
-WORD_PUNCT = r"(?U)\w+|[^\w\s]+"
+WORD_PUNCT = rf"(?U)[{_WORD}]+|[^{_WORD}\s\x1c-\x1f]+"
 
 
 def tokens(c: Column | str, pattern: str = WORDS_SPLIT) -> Column:

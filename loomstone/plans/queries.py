@@ -271,6 +271,7 @@ def tokenize_corpus(s, d):
     return _token_counts(written(s, d), K.WORDS_SPLIT)
 
 
+#: The part of the documents on which the dialects agree; the queries on it are checks, those named ``_all`` do the whole job.
 _PLAIN = rf"SELECT * FROM documents WHERE regexp_matches(text, '{ASCII}')"
 
 
@@ -279,16 +280,31 @@ def tokenize_bounded(s, d):
     return _token_counts(documents(s, d).filter(F.col("text").rlike(ASCII)), K.WORDS_DEPLOYED)
 
 
+@query()
+def tokenize_bounded_all(s, d):
+    return _token_counts(written(s, d), K.WORDS_DEPLOYED)
+
+
 @query(_tokens_sql(r"(?i)\b[a-z_]{2,}\b", _PLAIN))
 def tokenize_words(s, d):
     return _token_counts(documents(s, d).filter(F.col("text").rlike(ASCII)), K.WORDS_BOUND)
 
 
+@query()
+def tokenize_words_all(s, d):
+    return _token_counts(written(s, d), K.WORDS_BOUND)
+
+
 @query(_tokens_sql(r"\b\w\w+\b", _PLAIN))
 def tokenize_unicode(s, d):
     return _token_counts(documents(s, d).filter(F.col("text").rlike(ASCII)), K.WORDS_UNICODE)
 
 
+@query()
+def tokenize_unicode_all(s, d):
+    return _token_counts(written(s, d), K.WORDS_UNICODE)
+
+
 @query(_tokens_sql(r"\S+", _WRITTEN))
 def tokenize_space(s, d):
     return _token_counts(written(s, d), K.SPACE)
@@ -299,6 +315,11 @@ def tokenize_wordpunct(s, d):
     return _token_counts(documents(s, d).filter(F.col("text").rlike(ASCII)), K.WORD_PUNCT)
 
 
+@query()
+def tokenize_wordpunct_all(s, d):
+    return _token_counts(written(s, d), K.WORD_PUNCT)
+
+
 _CORPUS = rf"SELECT doc_id, source, lang, regexp_extract_all(lower({_ASCII.format('text')}), '[a-z_]{{2,16}}') AS tokens FROM ({_WRITTEN})"
 
 

@@ -1,5 +1,8 @@
 """The edge rows of each operator: nulls, ties, empty tables, and the semantics that are easy to get wrong."""
 
+import re
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +19,7 @@ from loomstone.operators import model as M
 from loomstone.operators import phrases as P
 from loomstone.operators import prune as R
 from loomstone.operators import vectorize as V
+from loomstone.plans.queries import QUERIES
 from loomstone.sources import io
 
 
@@ -31,6 +35,17 @@ def test_tokenisers(spark):
     assert one(spark, None, K.tokens("x")) == [None]
 
 
+@pytest.mark.parametrize(
+    ("name", "pattern"),
+    [("unicode", r"\b\w\w+\b"), ("words", r"(?i)\b[a-z_]{2,}\b"), ("bounded", r"(?i)\b[a-z_]{2,16}\b"), ("wordpunct", r"\w+|[^\w\s]+")],
+)
+def test_tokens_of_all_documents_equal_python(spark, tmp_path, name, pattern):
+    texts = ["Crème brûlée №5, ouè le thé", "Größe für Spaß", "красный чай 12", "हिन्दी में चाय!", "ไทย ครับ", "日本語のテキスト。", "العَرَبية", "e\u0301tude abc\u0301 \u212aelvin ſoft", "a\x1cb \u3000 c!?!", "sherryguzzlinggranny plain_word", " ", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter(t for x in texts if x for t in re.findall(pattern, x))
+    assert {r.token: r.n for r in QUERIES[f"tokenize_{name}_all"](spark, str(tmp_path)).collect()} == dict(want)
+
+
 def test_text(spark):
     c = F.col("x")
     assert one(spark, "x (a) y {b) z", X.strip_brackets(c)) == ["x  z"]
