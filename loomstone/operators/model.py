@@ -52,6 +52,7 @@ def accuracy(predictions: DataFrame) -> float:
 def halving_search(df: DataFrame, key: str, grid: int = 6, factor: int = 3, first: int = 200, seed: int = 1, kinds: tuple[str, ...] = ("svm", "log")) -> list[dict]:
     """Random settings on ever larger samples, the best 1 / factor of them kept each time; best first.
 
+    The last rung is always the whole table: a single survivor goes there at once.
     The settings are few, so the loop over them is the driver's; fits and scores are Spark's.
     """
     rng = random.Random(seed)
@@ -59,7 +60,8 @@ def halving_search(df: DataFrame, key: str, grid: int = 6, factor: int = 3, firs
     left = [{"kind": rng.choice(kinds), "alpha": 10 ** rng.uniform(-6, -2)} for _ in range(grid)]
     n, rung, results = min(first, total), 0, []
     while left:
-        part = with_weights(df.orderBy(draw(key, str(seed)), key).limit(n), "label").cache()
+        some = df if n >= total else df.orderBy(draw(key, str(seed)), key).limit(n)  # the limit makes one partition
+        part = with_weights(some, "label").cache()
         train, test = part.filter(F.pmod(F.xxhash64(key), F.lit(4)) > 0), part.filter(F.pmod(F.xxhash64(key), F.lit(4)) == 0)
         scored = []
         for setting in left:
@@ -67,11 +69,11 @@ def halving_search(df: DataFrame, key: str, grid: int = 6, factor: int = 3, firs
             scored.append((accuracy(model.transform(test)), setting))
             results.append({**setting, "rung": rung, "n": n, "score": scored[-1][0]})
         part.unpersist()
-        if len(left) == 1 or n >= total:
+        if n >= total:
             break
         keep = max(1, math.ceil(len(left) / factor))
         left = [s for _, s in sorted(scored, key=lambda x: -x[0])[:keep]]
-        n, rung = min(n * factor, total), rung + 1
+        n, rung = total if len(left) == 1 else min(n * factor, total), rung + 1
     return sorted(results, key=lambda r: (-r["rung"], -r["score"]))
 
 

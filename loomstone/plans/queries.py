@@ -784,7 +784,7 @@ def logreg(s, d):
 @query()
 def halving_search(s, d):
     df = written(s, d).filter(F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").alias("label"))
-    return M.cv_table(s, M.halving_search(df, "doc_id", grid=3, first=300, kinds=("log",)))
+    return M.cv_table(s, M.halving_search(df, "doc_id", grid=9, first=1000, kinds=("svm", "log")))
 
 
 # --- sources and sinks, pipelines

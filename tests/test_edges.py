@@ -190,6 +190,18 @@ def test_linear_models_separate(spark):
     assert ranked[0]["rung"] >= ranked[-1]["rung"] and M.cv_table(spark, ranked).count() == len(ranked)
 
 
+def test_halving_ends_on_the_whole_table(spark, monkeypatch):
+    rows = [(i, ("red apple fruit tree" if i % 2 else "steel bolt nut wrench") + f" w{chr(97 + i % 7)}x", "fruit" if i % 2 else "metal") for i in range(80)]
+    ranked = M.halving_search(spark.createDataFrame(rows, "id int, text string, label string"), "id", grid=3, first=20, kinds=("log",))
+    assert [r["n"] for r in ranked] == [80, 20, 20, 20]
+    asked = {}
+    monkeypatch.setattr(M, "halving_search", lambda df, key, **kw: asked.update(kw) or ranked)
+    spark.createDataFrame([(1, "a", "en")], "doc_id int, text string, lang string").createOrReplaceTempView("written_rows")
+    monkeypatch.setattr("loomstone.plans.queries.documents", lambda s, d: s.table("written_rows"))
+    QUERIES["halving_search"](spark, "").count()
+    assert asked["first"] >= 1000 and set(asked["kinds"]) == {"svm", "log"}
+
+
 def test_smooth_idf_is_idf_plus_one(spark):
     df = spark.createDataFrame([(1, "aa bb", ["aa", "bb"]), (2, "aa cc", ["aa", "cc"])], "id int, text string, tokens array<string>")
     long = {(r.id, r.term): r.weight for r in V.tfidf(df, "id", "tokens").collect()}
