@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions import tokens as K
 from ..operators import brand as B
 from ..operators import dedupe as D
+from ..operators import lemma as L
 from ..operators import model as M
 from ..operators import phrases as P
 from ..operators import prune as R
@@ -54,13 +55,21 @@ def tokenise(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("tokens", K.drop_repetitive(K.tokens(plain)))
 
 
-def vocabulary_stage(clean: DataFrame, cache: DataFrame, key: str = "asin", least: int = 100) -> DataFrame:
-    """(key, main_cat, tokens): English only, without stopwords, with the best phrases of each category joined."""
-    clean = cut_lineage(clean)
+def vocabulary_stage(clean: DataFrame, cache: DataFrame, key: str = "asin", least: int = 100, least_brand: int = 10) -> DataFrame:
+    """(key, main_cat, tokens): English only, lemmas without stopwords, with the phrases joined, the longest first.
+
+    Phrases are the best bigrams of each category and the brands of several words, both as lemmas. Rows of rare brands
+    go first. The phrases are a parameter, which goes to the driver: ``least`` and ``least_brand`` bound their number.
+    """
+    clean = cut_lineage(clean.withColumn("brand", B.brand_token(F.col("brand"))))
+    clean = cut_lineage(R.brand_policy(clean, "main_cat", "brand"))
     lang = fill_from_cache(clean.select(key, "text"), cache, key, "text")
-    df = cut_lineage(tokenise(keep_language(clean, lang, key)).withColumn("tokens", K.drop_stopwords("tokens")))
-    best = P.top_half(P.pmi(df, "tokens", "main_cat", least), "main_cat").select("a", "b").distinct()
-    return df.select(key, "main_cat").join(P.mwe_join(df, key, "tokens", best), key)
+    lemmas = tokenise(keep_language(clean, lang, key)).withColumn("tokens", L.lemmatise("tokens"))
+    df = cut_lineage(lemmas.withColumn("tokens", K.drop_stopwords("tokens")))
+    best = P.top_half(P.pmi(df, "tokens", "main_cat", least), "main_cat").select(F.array("a", "b").alias("phrase"))
+    brands = P.brand_phrases(df, "brand", sorted(K.STOPWORDS), least_brand).select(L.lemmatise("phrase").alias("phrase"))
+    phrases = [tuple(r["phrase"]) for r in best.unionByName(brands).distinct().collect()]
+    return df.select(key, "main_cat").join(P.mwe_join_any(df, key, "tokens", phrases), key)
 
 
 def demo_table(retail: DataFrame, cut: Column, least: int = 10, keep_lang: bool = True) -> DataFrame:

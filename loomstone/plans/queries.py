@@ -832,7 +832,7 @@ def curate_catalogue(s, d):
 @query()
 def build_vocabulary(s, d):
     clean = pipelines.curate(amazon(s, d), least_category=20, least_brand=1)
-    return pipelines.vocabulary_stage(clean, table(s, d, "lang_cache"), least=LEAST_BIGRAM)
+    return pipelines.vocabulary_stage(clean, table(s, d, "lang_cache"), least=LEAST_BIGRAM, least_brand=LEAST_BRAND)
 
 
 @query()

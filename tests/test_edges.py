@@ -19,6 +19,7 @@ from loomstone.operators import model as M
 from loomstone.operators import phrases as P
 from loomstone.operators import prune as R
 from loomstone.operators import vectorize as V
+from loomstone.plans import pipelines
 from loomstone.plans.queries import QUERIES
 from loomstone.sources import io
 
@@ -137,6 +138,16 @@ def test_phrases_of_three(spark):
     assert got == {1: ["new_york_city", "new_york"], 2: []}
 
 
+def test_vocabulary_joins_lemmas_and_brands(spark):
+    rows = [(f"a{i}", "home", "Iron Works & Kettles", "the lamps and the lamp of iron works kettles with shelves") for i in range(4)]
+    rows += [(f"b{i}", "big", "none" if i < 5 else "acme" if i < 1100 else f"rare{i}", "the lamp of the house") for i in range(1105)]
+    clean = spark.createDataFrame(rows, "asin string, main_cat string, brand string, text string")
+    cache = spark.createDataFrame([(r[0], "en") for r in rows], "asin string, lang string")
+    got = {r.asin: list(r.tokens) for r in pipelines.vocabulary_stage(clean, cache, least=2000, least_brand=3).collect()}
+    assert got["a0"] == ["lamp", "lamp", "iron_work_kettle", "shelf"]
+    assert {k for k in got if k[0] == "b"} == {f"b{i}" for i in range(5, 1100)}
+
+
 def test_gazetteer(spark):
     rows = [("sony", "x")] * 3 + [("tv", "x")] * 3 + [(None, "Sony tv"), (None, "tv sony"), (None, "sonya"), (None, None)]
     df = spark.createDataFrame(rows, "brand string, title string")
