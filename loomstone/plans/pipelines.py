@@ -23,11 +23,12 @@ def repair_category(c: Column) -> Column:
     return X.collapse_space(X.decode_entities(F.coalesce(X.extract(c, r'alt="([^"]+)"'), c)))
 
 
-def curate(raw: DataFrame, order: str = "row_id", least_category: int = 100, least_brand: int = 10, lower: float = 0.5, upper: float = 0.99) -> DataFrame:
+def curate(raw: DataFrame, order: str = "row_id", least_category: int = 100, lower: float = 0.5, upper: float = 0.99) -> DataFrame:
     """The clean corpus out of the raw catalogue: (asin, title, brand, description, feature, main_cat, text).
 
     The order of the stages is part of the meaning: rows without text or label go first, then copies, then the tails
-    of the lengths, then small categories; brands are repaired, and the text is composed last. Every cut reads its own
+    of the lengths, then small categories; the texts are cleaned, which makes new copies and new tails; brands are
+    repaired, categories that became small go, and the text is composed last. Every cut reads its own
     input twice, for the bound and for the rows, so the stages between are written: else the plan would double each time.
     """
     df = raw.select(order, "asin", X.join_list("description").alias("description"), "title", X.join_list("feature").alias("feature"), "brand", "main_cat")
@@ -40,9 +41,15 @@ def curate(raw: DataFrame, order: str = "row_id", least_category: int = 100, lea
     df = R.prune_small(df, "main_cat", least_category)
     df = cut_lineage(D.chain_first_wins(df, [["title", "brand"]], order))
     df = R.trim_central(df, {"title": F.length("title")}, 0.98)
+    cleaned = {c: X.chain(F.col(c), X.decode_entities, F.lower) for c in ("description", "title", "brand")}
+    cleaned |= {c: X.strip_tags(cleaned[c]) for c in ("title", "brand")}
+    df = df.withColumns({c: X.null_if_empty(X.collapse_space(v)) for c, v in cleaned.items()}).na.drop(subset=["description", "title"])
+    df = cut_lineage(D.chain_first_wins(df, [["title", "brand"], ["description"]], order))
+    df = cut_lineage(R.trim_quantile(df, {"title": F.length("title"), "description": F.length("description")}, 0.01))
+    df = R.trim_quantile(df, {"brand": F.length("brand")}, upper=0.99)
     df = cut_lineage(df.withColumn("brand", B.repair_brand(F.col("brand"))))
     df = cut_lineage(B.gazetteer_fill(df, "brand", "title").na.fill("", ["brand"]))
-    df = R.prune_small(df, "brand", least_brand)
+    df = R.prune_small(df, "main_cat", least_category)
     feature = X.chain(F.coalesce("feature", F.lit("")), F.lower, X.decode_entities, X.strip_tags, X.strip_brackets)
     df = cut_lineage(df.withColumn("feature", feature))
     df = R.trim_iqr(df, F.length("feature"))

@@ -826,12 +826,12 @@ def pipeline_roundtrip(s, d):
 
 @query()
 def curate_catalogue(s, d):
-    return pipelines.curate(amazon(s, d), least_category=20, least_brand=1)
+    return pipelines.curate(amazon(s, d), least_category=20)
 
 
 @query()
 def build_vocabulary(s, d):
-    clean = pipelines.curate(amazon(s, d), least_category=20, least_brand=1)
+    clean = pipelines.curate(amazon(s, d), least_category=20)
     return pipelines.vocabulary_stage(clean, table(s, d, "lang_cache"), least=LEAST_BIGRAM, least_brand=LEAST_BRAND)
 
 

@@ -148,6 +148,22 @@ def test_vocabulary_joins_lemmas_and_brands(spark):
     assert {k for k in got if k[0] == "b"} == {f"b{i}" for i in range(5, 1100)}
 
 
+def test_curation_cleans_then_cuts_again(spark):
+    def row(i, title, brand, description, cat="Home"):
+        return i, f"a{i:03}", [description], title, ["plain"], brand, cat
+
+    word = lambda i: "".join(chr(97 + int(x)) for x in f"{i:03}")
+    rows = [row(i, f"Lamp {word(i)}", "Acme", f"text of the lamp {word(i)}") for i in range(200)]
+    rows += [row(200, "<b>Bowl</b> &amp; Cup", "<i>Acme</i>", "Salt &amp; PEPPER xx abc"), row(201, "bowl & cup", "acme", "another words of it x"), row(202, "Different", "Acme", "salt & pepper xx abc")]
+    rows += [row(203, "Tiny lamps", "Acme", "x " * 10 + "y"), row(204, "Long brands", "b" * 90, "text of the lamp zzz z"), row(205, "b", "Acme", "text of the lamp zz zz")]
+    rows += [row(206 + i, t, "Acme", f"text of the cup {word(i)} ab", "Small") for i, t in enumerate(["Mug one a", "<b>Mug one a</b>"])]
+    rows += [row(210 + i, "Lamp with a very long title " * 2 + word(i), "Acme", f"text of the bulb {word(i)}") for i in range(6)]
+    raw = spark.createDataFrame(rows, "row_id int, asin string, description array<string>, title string, feature array<string>, brand string, main_cat string")
+    got = {r.asin: r for r in pipelines.curate(raw, least_category=2, lower=0.0, upper=1.0).collect()}
+    assert got["a200"].title == "bowl & cup" and got["a200"].brand == "acme" and got["a200"].description == "salt & pepper xx abc"
+    assert not {"a201", "a202", "a204", "a205", "a206", "a207"} & set(got)
+
+
 def test_gazetteer(spark):
     rows = [("sony", "x")] * 3 + [("tv", "x")] * 3 + [(None, "Sony tv"), (None, "tv sony"), (None, "sonya"), (None, None)]
     df = spark.createDataFrame(rows, "brand string, title string")
