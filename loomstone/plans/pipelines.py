@@ -14,7 +14,7 @@ from ..operators import lemma as L
 from ..operators import model as M
 from ..operators import phrases as P
 from ..operators import prune as R
-from ..operators.language_filter import fill_from_cache, keep_language
+from ..operators.language_filter import detect, fill_from_cache, keep_language
 from ..runtime import cut_lineage
 
 
@@ -79,18 +79,25 @@ def vocabulary_stage(clean: DataFrame, cache: DataFrame, key: str = "asin", leas
     return df.select(key, "main_cat").join(P.mwe_join_any(df, key, "tokens", phrases), key)
 
 
-def demo_table(retail: DataFrame, cut: Column, least: int = 10, keep_lang: bool = True) -> DataFrame:
+#: Fixed value: the notice that the shop puts into descriptions.
+CAVEAT = "We aim to show you accurate product information. Manufacturers, suppliers and others provide what you see here, and we have not verified it. See our disclaimer"
+
+
+def demo_table(retail: DataFrame, least: int = 10, keep_lang: bool = True, lower: float = 0.5, upper: float = 0.99) -> DataFrame:
     """The demo table out of a retail listing: copies by (title, brand), then by description, placeholders to null,
-    rows with a null dropped, the main category out of the path, lengths trimmed, small categories dropped."""
+    rows with a null dropped, the main category out of the path, lengths trimmed, only descriptions in English kept, by
+    detection and not by the given label, small categories dropped."""
     df = D.chain_first_wins(retail, [["title", "brand"], ["description"]], "item_id")
     df = df.withColumns({c: X.null_if_match(F.col(c)) for c in ("title", "category", "description", "brand")})
     df = df.na.drop(subset=["title", "category", "description", "brand"])
     df = df.withColumn("main_cat", X.extract(F.col("category"), r"^([\w\s&]+)\s\|"))
     df = df.filter(X.not_equal(F.col("main_cat"), "Shop by Brand"))
+    df = df.withColumn("description", X.strip_ends(F.replace(X.strip_punct(F.col("description"), "|"), F.lit(CAVEAT), F.lit(""))))
+    df = df.withColumn("n_char", (F.length("title") + F.length("category") + F.length("description")).cast("bigint"))
     df = df.withColumn("category", X.strip_ends(F.replace(X.strip_punct(F.col("category"), "|", " "), F.lit("  "), F.lit(" "))))
-    df = df.withColumn("n_char", (F.length("title") + F.length("description") + F.length("brand")).cast("bigint"))
-    df = cut_lineage(R.trim_quantile(cut_lineage(df), {"n_char": F.col("n_char")}, 0.25, 1.0).filter(cut))
-    df = R.prune_small(df, "main_cat", least + 1)
+    df = cut_lineage(R.trim_quantile(cut_lineage(df), {"n_char": F.col("n_char")}, lower, upper))
+    df = df.drop("lang").join(detect(df, "item_id", "description").filter(F.col("lang") == "en").select("item_id", "lang"), "item_id")
+    df = R.prune_small(df.select(*[c for c in retail.columns if c in df.columns], *[c for c in df.columns if c not in retail.columns]), "main_cat", least + 1)
     return df if keep_lang else df.drop("lang")
 
 

@@ -837,4 +837,4 @@ def build_vocabulary(s, d):
 
 @query()
 def demo_table(s, d):
-    return pipelines.demo_table(walmart(s, d), F.lit(True))
+    return pipelines.demo_table(walmart(s, d))

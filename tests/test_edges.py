@@ -164,6 +164,16 @@ def test_curation_cleans_then_cuts_again(spark):
     assert not {"a201", "a202", "a204", "a205", "a206", "a207"} & set(got)
 
 
+def test_demo_table_is_english(spark):
+    body = {"en": "this is the lamp for the table and it is new", "de": "das ist die Lampe für den Tisch und sie ist neu"}
+    rows = [(i, f"lamp {i:03}", "Home | Lamps", body["de" if i % 3 == 0 else "en"] + f" {i:03}" + " " + "x" * i, "acme", None, "de" if i % 2 else "") for i in range(100)]
+    rows += [(100 + i, f"cup {i:03}", "Tiny | Cups", body["de" if i else "en"] + f" {i:03}", "acme", None, "en") for i in range(12)]
+    walmart = spark.createDataFrame(rows, "item_id int, title string, category string, description string, brand string, main_cat string, lang string")
+    got = {r.item_id: r for r in pipelines.demo_table(walmart, lower=0.0, upper=1.0).collect()}
+    assert set(got) == {i for i in range(100) if i % 3} and {r.lang for r in got.values()} == {"en"}
+    assert pipelines.demo_table(walmart).count() < len(got)
+
+
 def test_gazetteer(spark):
     rows = [("sony", "x")] * 3 + [("tv", "x")] * 3 + [(None, "Sony tv"), (None, "tv sony"), (None, "sonya"), (None, None)]
     df = spark.createDataFrame(rows, "brand string, title string")
