@@ -44,8 +44,8 @@ class AddTermFrequency(Transformer, HasInputCol, HasOutputCol, DefaultParamsRead
         return dataset.withColumn(self.getOutputCol(), array_to_vector(both))
 
 
-def text_stages(text: str = "text", smooth: bool = False, min_df: float = 2.0, size: int = 1 << 18) -> list:
-    """Tokens of 2 to 16 letters, binary counts, IDF and unit length. ``smooth`` adds 1 to the IDF, over dense arrays."""
+def text_stages(text: str = "text", smooth: bool = False, min_df: float = 2.0, size: int = (1 << 31) - 1) -> list:
+    """Tokens of 2 to 16 letters, binary counts of all terms, IDF and unit length. ``smooth`` adds 1 to the IDF, over dense arrays."""
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"(?i)[\p{L}_]{2,16}", gaps=False, toLowercase=True),
         CountVectorizer(inputCol="_tokens", outputCol="_tf", binary=True, minDF=min_df, vocabSize=size),

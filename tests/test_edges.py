@@ -227,6 +227,13 @@ def test_linear_models_separate(spark):
     assert ranked[0]["rung"] >= ranked[-1]["rung"] and M.cv_table(spark, ranked).count() == len(ranked)
 
 
+def test_the_classifier_is_not_cut_short(spark):
+    stages = M.linear("svm").getStages()
+    each = stages[-1].getClassifier()
+    assert each.getMaxIter() >= 30 and each.getTol() <= 1e-6
+    assert next(x for x in stages if hasattr(x, "getVocabSize")).getVocabSize() == (1 << 31) - 1
+
+
 def test_halving_ends_on_the_whole_table(spark, monkeypatch):
     rows = [(i, ("red apple fruit tree" if i % 2 else "steel bolt nut wrench") + f" w{chr(97 + i % 7)}x", "fruit" if i % 2 else "metal") for i in range(80)]
     ranked = M.halving_search(spark.createDataFrame(rows, "id int, text string, label string"), "id", grid=3, first=20, kinds=("log",))
