@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,3 +40,14 @@ def to_strings(cps: np.ndarray, offsets: np.ndarray, valid: np.ndarray | None =
 
 def single(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut into parts of about ``size`` bytes of a string column; a longer value is a part of its own."""
+    sizes = np.array(pc.fill_null(pc.binary_length(single(batch.column(column)).cast(pa.large_string())), 0), np.int64)
+    part = np.cumsum(sizes) // size
+    lo = 0
+    for hi in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+        lo = hi
