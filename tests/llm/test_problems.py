@@ -131,6 +131,39 @@ def test_real_text_stays(residue_model, text):
     assert not residue_model.score(pa.array([text], pa.string()))[0][0]
 
 
+def test_held_out_wordings_and_ordinary_sentences(residue_model):
+    from heldout_residue import ORDINARY, RESIDUE
+
+    found = residue_model.score(pa.array(RESIDUE))[0]
+    wrong = residue_model.score(pa.array(ORDINARY))[0]
+    assert found.mean() > 0.75
+    assert wrong.mean() < 0.1
+
+
+@pytest.mark.parametrize("text", ["This cable replaces a broken HDMI lead.", "Add hot water and wait five minutes.", "Insert the batteries and close the cover.", "Error-free typing thanks to quiet keys.", "Enter the code on the keypad and the door opens.", "Wait two minutes before you pour the tea.", "Replace the filter once a year."])
+def test_sentences_with_words_of_residue(residue_model, text):
+    assert not residue_model.score(pa.array([text]))[0][0]
+
+
+def test_what_follows_good_text_is_natural():
+    """A sentence close to residue that stands behind good text is told by the table itself to be prose."""
+    good = [f"The lamp number {w} feels light in the hand." for w in "one two three four five six seven eight nine ten".split()]
+    like = "This page needs scripts to work, says the print on the mug."
+    alone = residue.Residue(good)
+    told = residue.Residue([g + " " + like for g in good[:3]] + [like + " " + g for g in good])
+    assert told._hits(*residue.code_points(pa.array([like])))[1][0] < min(0, alone._hits(*residue.code_points(pa.array([like])))[1][0])
+
+
+@pytest.mark.parametrize("text", ["[Product Name] is here.", "Buy <Brand Name> now.", "{$title} lamp", "{{#if brand}} x", "A %(color)s lamp.", "Made by ${brand}.", "[your text here]"])
+def test_placeholders_inside_a_text(residue_model, text):
+    assert residue_model.score(pa.array(["The lamp feels light. " + text]))[2][0]
+
+
+@pytest.mark.parametrize("text", ["Sizes [S] and [M].", "Use {a} or {b}.", "A <b>red</b> lamp.", "5 % off, file_name.txt", "[model X, 3 ml]"])
+def test_marks_that_hold_no_place(residue_model, text):
+    assert not residue_model.score(pa.array(["The lamp feels light. " + text]))[2][0]
+
+
 def test_residue_rows(spark, residue_model):
     df = spark.createDataFrame([(1, "TBD", 0), (2, None, 0), (3, "", 0), (4, "The lamp feels light in the hand.", 0), (4, "The lamp feels light in the hand.", 0)], "item_id bigint, description string, is_residue int")
     got = residue.score_residue(df, model=residue_model).collect()
