@@ -12,6 +12,7 @@ import unicodedata
 
 from pyspark.sql import DataFrame
 
+from ..runtime import cut_lineage
 from .lookalike import CYRILLIC_AS_LATIN, GREEK_AS_LATIN
 
 #: Words around a name that are no part of it.
@@ -20,6 +21,9 @@ SUFFIXES = ("official shop", "official store", "official", "store", "shop", "inc
 #: Values that stand for no brand.
 NO_BRAND = ("generic", "unknown", "various", "n a", "na", "none", "null", "nil", "unbranded", "no brand", "nobrand", "no name", "noname", "not specified", "not available", "not applicable", "unspecified", "misc", "other", "others", "tbd")
 
+#: Letters from which a name may be two edits away.
+LONG = 12
+
 
 def _folding() -> tuple[str, str]:
     """Letters and the plain Latin letter each comes to: accents off, full-width and look-alike letters to Latin."""
@@ -54,23 +58,22 @@ def clean_sql(column: str, dialect: str = "spark") -> str:
 def map_values(df: DataFrame, reference: DataFrame, key: str = "row_id", value: str = "brand", ref_id: str = "brand_id", ref_value: str = "brand") -> DataFrame:
     """(key, ref_id): each row whose value is neither null nor blank, with the entry it names, or 0.
 
-    A value fits an entry if, cleaned, its first words are the entry but for one edit or one swap of neighbours; the
-    most words and then the longest entry win, then the nearest, then the smallest id. An entry of several words is
+    A value fits an entry if, cleaned, its first words are the entry but for one edit or one swap of neighbours, or for
+    two edits in a name of ``LONG`` letters or more; the most words and then the longest entry win, then the nearest, then the smallest id. An entry of several words is
     also named by its first word, if no other entry has that first word. An empty table or list gives no row or only
     zeros; repeated rows repeat.
     """
     spark = df.sparkSession
     no_brand = ", ".join(f"'{x}'" for x in NO_BRAND)
     query = rf"""
-        WITH freely AS (SELECT `{key}` AS k, `{value}` AS v FROM @typed WHERE `{value}` IS NOT NULL AND trim(regexp_replace(`{value}`, r'[\s\p{{Z}}]+', '')) != ''),
-        vals AS (SELECT v, {clean_sql('v')} AS c FROM freely GROUP BY v),
-        cleaned AS (SELECT DISTINCT c FROM vals WHERE c != '' AND c NOT IN ({no_brand})),
+        WITH cleaned AS (SELECT DISTINCT c FROM vals WHERE c != '' AND c NOT IN ({no_brand})),
         turned AS (
             SELECT c, replace(c, ',', ' ') AS t FROM cleaned
             UNION SELECT c, concat_ws(' ', split_part(c, ',', 2), split_part(c, ',', 1)) FROM cleaned WHERE c LIKE '%,%'),
         words AS (SELECT c, split(trim(regexp_replace(t, '[ :]+', ' ')), ' ') AS w FROM turned),
-        probes AS (SELECT DISTINCT c, n, array_join(slice(w, 1, n), ' ') AS p FROM (SELECT c, w, explode(sequence(1, least(size(w), 4))) AS n FROM words)),
         entries AS (SELECT `{ref_id}` AS id, trim(replace({clean_sql(f'`{ref_value}`')}, ',', ' ')) AS e FROM @reference WHERE `{ref_value}` IS NOT NULL),
+        most AS (SELECT coalesce(max(size(split(e, ' '))), 0) + 2 AS m FROM entries),  -- more words are more than two edits away
+        probes AS (SELECT DISTINCT c, n, array_join(slice(w, 1, n), ' ') AS p FROM (SELECT c, w, explode(sequence(1, least(size(w), (SELECT m FROM most)))) AS n FROM words)),
         firsts AS (SELECT split_part(e, ' ', 1) AS f, count(*) AS m, max(id) AS id, max(e) AS e FROM entries GROUP BY split_part(e, ' ', 1)),
         names AS (
             SELECT id, e AS name, false AS short FROM entries WHERE e != ''
@@ -85,14 +88,19 @@ def map_values(df: DataFrame, reference: DataFrame, key: str = "row_id", value:
         near AS (SELECT *, levenshtein(p, name) AS d FROM candidates),
         verified AS (
             SELECT p, id, name, short, d FROM near
-            WHERE d = 0 OR (length(name) > 3 AND (d = 1 OR (d = 2 AND length(p) = length(name) AND array_sort(split(p, '')) = array_sort(split(name, '')))))),
+            WHERE d = 0 OR (length(name) > 3 AND (d = 1 OR (d = 2 AND (length(name) >= {LONG} OR length(p) = length(name) AND array_sort(split(p, '')) = array_sort(split(name, ''))))))),
         best AS (
             SELECT c, min_by(id, struct(-size(split(name, ' ')), -length(name) * int(d = 0), d, short, -length(name), id)) AS id
             FROM probes JOIN verified USING (p) GROUP BY c),
         matched AS (SELECT v, id FROM vals JOIN best USING (c)),
         unmatched AS (SELECT v, CAST(0 AS BIGINT) AS id FROM vals LEFT ANTI JOIN matched USING (v)),
         mapping AS (SELECT * FROM matched UNION ALL SELECT * FROM unmatched)
-        SELECT k AS `{key}`, CAST(id AS BIGINT) AS `{ref_id}` FROM freely JOIN mapping USING (v)
+        SELECT t.`{key}`, CAST(g.id AS BIGINT) AS `{ref_id}` FROM @typed t JOIN mapping g ON t.`{value}` = g.v
         """
-    query = query.replace("{", "{{").replace("}", "}}").replace("@typed", "{typed}").replace("@reference", "{reference}")
-    return spark.sql(query, typed=df, reference=reference)
+    # the distinct values are cleaned once and written, as the plan reads them several times
+    cleaned = rf"""
+        SELECT v, {clean_sql('v')} AS c FROM (SELECT DISTINCT `{value}` AS v FROM @typed)
+        WHERE v IS NOT NULL AND trim(regexp_replace(v, r'[\s\p{{Z}}]+', '')) != ''"""
+    braces = lambda q: q.replace("{", "{{").replace("}", "}}").replace("@typed", "{typed}").replace("@reference", "{reference}").replace("vals ", "{vals} ")
+    vals = cut_lineage(spark.sql(braces(cleaned), typed=df.select(value)))
+    return spark.sql(braces(query), typed=df.select(key, value), reference=reference, vals=vals)
