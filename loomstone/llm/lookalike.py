@@ -42,6 +42,8 @@ def tables() -> dict[str, np.ndarray]:
     script = np.zeros(TOP, np.uint8)
     wordly = np.zeros(TOP, bool)
     joiner_ok = np.zeros(TOP, bool)
+    cjk = np.zeros(TOP, bool)
+    cjk[0x3400:0xA000] = cjk[0x20000:0x30000] = cjk[0xAC00:0xD7B0] = True
     parts: dict[int, list[int]] = {}
     pair_keys, pair_values = [], []
     for c in range(TOP):
@@ -58,7 +60,8 @@ def tables() -> dict[str, np.ndarray]:
         if kind[0] == "L":
             name = unicodedata.name(ch, "")
             script[c] = LATIN if name.startswith("LATIN") else CYRILLIC if name.startswith("CYRILLIC") else GREEK if name.startswith("GREEK") else 0
-        joiner_ok[c] = kind in ("So", "Sk", "Mn", "Mc") or 0x590 <= c < 0x1100
+        joiner_ok[c] = kind in ("So", "Sk") and c >= 0x2190 or c == 0xFE0F or 0x590 <= c < 0x1100
+        cjk[c] = 0x2E80 <= c < 0xA000 or 0xF900 <= c < 0xFB00 or 0xFF61 <= c < 0xFFA0
         if kind == "Zs" and c not in (0x20, 0x3000) or kind in ("Zl", "Zp"):
             flag[c] = SPACE
             parts[c] = [0x20]
@@ -71,6 +74,7 @@ def tables() -> dict[str, np.ndarray]:
             plain = unicodedata.normalize("NFKC", ch)
             if kind[0] in "LN":
                 flag[c] = FULL_WIDTH
+            if kind[0] in "LN" or decomposed.startswith("<narrow>"):
                 parts[c] = [ord(x) for x in unicodedata.normalize("NFD", plain)]
         elif decomposed.startswith("<font>") or 0xFB00 <= c <= 0xFB06:
             if kind[0] in "LN":
@@ -80,10 +84,12 @@ def tables() -> dict[str, np.ndarray]:
             whole = unicodedata.normalize("NFD", ch)
             parts[c] = [ord(x) for x in whole]
             pair = [int(x, 16) for x in decomposed.split()]
+            if len(pair) == 1 and 0x2100 <= c < 0x2150 and kind[0] == "L":
+                flag[c] = COMPAT  # signs that are letters, as of kelvin and ohm
             if len(pair) == 2 and unicodedata.normalize("NFC", ch) == ch:
                 pair_keys.append((pair[0] << 21) | pair[1])
                 pair_values.append(c)
-        if 0x300 <= c <= 0x36F:
+        if 0x300 <= c <= 0x36F or c in (0x3099, 0x309A):
             flag[c] |= MARK
     for c, p in parts.items():
         counts[c] = len(p)
@@ -102,13 +108,51 @@ def tables() -> dict[str, np.ndarray]:
             alike["latin"][ord(a)] = ord(b)
             alike[name][ord(b)] = ord(a)
             both[ord(a)] = both[ord(b)] = 1
-    return {"flag": flag, "counts": counts, "where": where, "pool": pool, "ccc": ccc, "script": script, "wordly": wordly, "joiner_ok": joiner_ok, "pair_keys": np.array(pair_keys, np.int64)[order], "pair_values": np.array(pair_values, np.uint32)[order], "both": both, **alike}
+    return {"flag": flag, "counts": counts, "where": where, "pool": pool, "ccc": ccc, "script": script, "wordly": wordly, "joiner_ok": joiner_ok, "cjk": cjk, "pair_keys": np.array(pair_keys, np.int64)[order], "pair_values": np.array(pair_values, np.uint32)[order], "both": both, **alike}
 
 
 def _rows(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
+def _signs(cps: np.ndarray, row: np.ndarray, n: int, t: dict) -> np.ndarray:
+    """Full-width signs to plain ones: in texts without letters of East Asia, and else between full-width or Latin letters."""
+    sign = (cps > 0xFF00) & (cps < 0xFF5F) & (t["flag"][cps] == 0)
+    if not sign.any():
+        return cps
+    eastern = np.zeros(n, bool)
+    eastern[row[t["cjk"][cps] & t["wordly"][cps]]] = True
+    plain = (t["flag"][cps] & FULL_WIDTH > 0) & (cps < 0xFF5F) | (t["script"][cps] == LATIN) | (cps >= 48) & (cps < 58)
+    index = np.arange(len(cps))
+    before = np.maximum.accumulate(np.where(sign, -1, index))  # the nearest that is no sign, on either side
+    after = np.minimum.accumulate(np.where(sign, len(cps), index)[::-1])[::-1]
+    left = (before >= 0) & plain[before] & (row[before] == row)
+    there = np.minimum(after, len(cps) - 1)
+    right = (after < len(cps)) & plain[there] & (row[there] == row)
+    fold = sign & (~eastern[row] | left & right)
+    return np.where(fold, cps - np.uint32(0xFEE0), cps)
+
+
+def _hangul(cps: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of Hangul that stand by themselves, joined to syllables by arithmetic."""
+    for first in (True, False):  # an initial and a vowel, then a syllable of both and a final
+        if len(cps) < 2:
+            break
+        a, b = cps[:-1].astype(np.int64), cps[1:].astype(np.int64)
+        if first:
+            joins, made = (a >= 0x1100) & (a < 0x1113) & (b >= 0x1161) & (b < 0x1176), 0xAC00 + ((a - 0x1100) * 21 + b - 0x1161) * 28
+        else:
+            joins, made = (a >= 0xAC00) & (a < 0xD7A4) & ((a - 0xAC00) % 28 == 0) & (b > 0x11A7) & (b < 0x11C3), a + b - 0x11A7
+        hit = np.flatnonzero(joins & (row[1:] == row[:-1]))
+        if len(hit):
+            cps = cps.copy()
+            cps[hit] = made[hit]
+            keep = np.ones(len(cps), bool)
+            keep[hit + 1] = False
+            cps, row = cps[keep], row[keep]
+    return cps, row
+
+
 def _compose(cps: np.ndarray, row: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
     """Canonical order of marks, then composition of each base with the marks behind it, all rows at once."""
     for _ in range(2):
@@ -119,6 +163,7 @@ def _compose(cps: np.ndarray, row: np.ndarray, t: dict) -> tuple[np.ndarray, np.
         start = np.maximum.accumulate(np.where(marks == 0, np.arange(len(cps)), 0))
         order = np.lexsort((np.arange(len(cps)), marks, start))
         cps, row = cps[order], row[order]
+    cps, row = _hangul(cps, row)
     while len(cps) > 1:
         marks = t["ccc"][cps]
         keys = (cps[:-1].astype(np.int64) << 21) | cps[1:]
@@ -161,12 +206,18 @@ def normalise_batch(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     n, row = len(offsets) - 1, _rows(offsets)
     seen = t["flag"][cps].copy()
     joiner = np.flatnonzero((cps == 0x200C) | (cps == 0x200D))
-    fine = joiner[(joiner > 0) & t["joiner_ok"][cps[np.maximum(joiner - 1, 0)]]]
-    fine = fine[row[fine] == row[np.maximum(fine - 1, 0)]]  # joiners of emoji and of Indic and Arabic scripts
+    left, right = np.maximum(joiner - 1, 0), np.minimum(joiner + 1, len(cps) - 1)
+    inside = (left < joiner) & (right > joiner) & (row[left] == row[joiner]) & (row[right] == row[joiner])
+    fine = joiner[inside & t["joiner_ok"][cps[left]] & t["joiner_ok"][cps[right]]]  # joiners of emoji and of Indic and Arabic scripts
+    wide = np.flatnonzero(cps == 0x3000)  # usual beside letters and signs of East Asia, else a special space
+    if len(wide):
+        near = [t["cjk"][cps[at]] & (row[at] == row[wide]) & (at != wide) for at in (np.maximum(wide - 1, 0), np.minimum(wide + 1, len(cps) - 1))]
+        seen[wide[~(near[0] | near[1])]] = SPACE
     seen[fine] = 0
     flags = np.zeros(n, np.int64)
     for bit in (FULL_WIDTH, MARK, INVISIBLE, SPACE, COMPAT):
         flags[row[(seen & bit) > 0]] |= bit
+    cps = _signs(cps, row, n, t)
     counts = t["counts"][cps].copy()
     counts[fine] = 1
     ends = np.zeros(len(cps) + 1, np.int64)
