@@ -11,14 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import cut_lineage
+
 #: Letters whose case pairs differ in length or have two small forms.
 FOLDS = (("ß", "ss"), ("ς", "σ"), ("ſ", "s"))
 
 
 def letters_and_digits(c: Column) -> Column:
     """The letters and digits of a text in their order, without regard to case; null stays null."""
+    c = F.lower(c)
     for a, b in FOLDS:
-        c = F.replace(F.lower(c), F.lit(a), F.lit(b))
+        c = F.replace(c, F.lit(a), F.lit(b)) if len(a) != len(b) else F.translate(c, a, b)
     return F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")
 
 
@@ -41,10 +44,19 @@ def raw_digest(df: DataFrame, columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *part), 256)
 
 
-def _groups(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(raw, rep, n, c0.., gid, copies) of every distinct raw record: gid is the smallest key of its listing."""
-    raw = df.select(key, *columns).withColumn("_raw", raw_digest(df, columns)).groupBy("_raw").agg(F.min(key).alias("_rep"), F.count("*").alias("_n"), *[F.first(c).alias(c) for c in columns])
-    return raw.select("_raw", "_rep", "_n", *[canonical(df, c).alias(f"_c{i}") for i, c in enumerate(columns)])
+def _survivors(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(_raw, _rep, _n, columns..) of every distinct raw record: its digest, its smallest key, its number of copies.
+
+    Only digests and counts are aggregated; the texts are fetched for the survivors alone.
+    """
+    digest = raw_digest(df, columns)
+    raw = df.select(digest.alias("_raw"), F.col(key).alias("_rep")).groupBy("_raw").agg(F.min("_rep").alias("_rep"), F.count("*").alias("_n"))
+    texts = df.select(F.col(key).alias("_rep"), *columns, digest.alias("_own"))
+    return texts.join(raw, "_rep").filter(F.col("_own") == F.col("_raw")).drop("_own")
+
+
+def _canonical_columns(survivors: DataFrame, columns: list[str]) -> list[Column]:
+    return [canonical(survivors, c).alias(f"_c{i}") for i, c in enumerate(columns)]
 
 
 def collapse_copies(df: DataFrame, key: str = "row_id", columns: tuple[str, ...] = ("title", "brand", "description")) -> DataFrame:
@@ -55,7 +67,9 @@ def collapse_copies(df: DataFrame, key: str = "row_id", columns: tuple[str, ...]
     one. Rows whose columns are all null form one listing. An empty table gives an empty table.
     """
     cols = list(columns)
-    listing = _groups(df, key, cols).groupBy(*[f"_c{i}" for i in range(len(cols))]).agg(F.min("_rep").alias(key), F.sum("_n").alias("n_copies"))
+    survivors = _survivors(df, key, cols)
+    distinct = survivors.select("_rep", "_n", *_canonical_columns(survivors, cols)).distinct()  # rows of one key are one
+    listing = distinct.groupBy(*[f"_c{i}" for i in range(len(cols))]).agg(F.min("_rep").alias(key), F.sum("_n").alias("n_copies"))
     return df.join(listing.select(key, "n_copies"), key)
 
 
@@ -65,14 +79,20 @@ def copy_members(df: DataFrame, key: str = "row_id", columns: tuple[str, ...] =
     Canonical texts meet as SHA-256 digests; a pair of different texts under one digest is not to be expected.
     """
     cols = list(columns)
-    distinct = _groups(df, key, cols)
-    text = F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.size(f"_c{i}").cast("string"), F.lit("["), F.array_join(f"_c{i}", ",")) if isinstance(distinct.schema[f"_c{i}"].dataType, T.ArrayType) else F.col(f"_c{i}"), F.lit("-")) for i in range(len(cols))]), 256)
-    slim = distinct.select("_raw", "_rep", "_n", text.alias("_canon"))
+    survivors = _survivors(df, key, cols)
+    part = [F.coalesce(F.concat(F.size(x).cast("string"), F.lit("["), F.array_join(x, ",")) if isinstance(df.schema[c].dataType, T.ArrayType) else x, F.lit("-")) for c, x in ((c, canonical(survivors, c)) for c in cols)]
+    slim = survivors.select("_raw", "_rep", "_n", F.sha2(F.concat_ws("|", *part), 256).alias("_canon")).distinct()
+    slim = cut_lineage(slim)
     listing = slim.groupBy("_canon").agg(F.min("_rep").alias("gid"), F.sum("_n").alias("n_copies")).filter(F.col("n_copies") >= least)
     raw_to = slim.select("_raw", "_canon").join(listing, "_canon").select("_raw", "gid", "n_copies")
     return df.select(key, raw_digest(df, cols).alias("_raw")).join(raw_to, "_raw").select(key, "gid", "n_copies")
 
 
+def copy_representatives(df: DataFrame, key: str = "row_id", columns: tuple[str, ...] = ("title", "brand", "description")) -> DataFrame:
+    """(key, gid, n_copies) of every row: gid is the smallest key of its listing, its own where it has no copy."""
+    return copy_members(df, key, columns, 1)
+
+
 def copy_pairs(df: DataFrame, key: str = "row_id", columns: tuple[str, ...] = ("title", "brand", "description")) -> DataFrame:
     """(key_a, key_b): all pairs of copies, the smaller key first."""
     members = copy_members(df, key, columns)
