@@ -1,11 +1,11 @@
 """Problem 5: listings of one product, grouped within and across tables.
 
-Each listing gives its standard identifiers (with a valid check digit), its part number, the rare words of its title
-that can be a series name, and its size, colour and pack count in one unit. Words are series names if they go with
-few different part numbers. Listings meet on reliable keys only: identifier, part number, or series name with all
-of size, colour and pack. A key of the last kind leads to a part number only if it leads to no other (the guard),
-so a component is a star around one part number or one full key and needs no iteration. Copies in layout join their
-originals.
+Each listing gives its standard identifiers (with a valid check digit), its part number, its brand, the words of its
+title that can be a series name, and its size, colour and pack count in one unit. A word is a series name if nearly all
+listings that have it are of one brand. Listings meet at keys: identifier, part number, or series name with all of size,
+colour and pack. A key that leads to several part numbers, identifiers or brands is split by them, so that it joins no
+two products that are told apart otherwise (the guard). Keys that a listing has together are edges, and a product is a
+connected component of the keys. Copies in layout join their originals.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import cut_lineage, spread
-from .canonical_values import _folding
+from .canonical_values import NO_BRAND, _folding, clean_sql
+from .components import components
 from .layout_copies import copy_members
 
 #: Units of size, their dimension and their size in its base unit (mm, ml, g).
@@ -27,108 +28,228 @@ UNITS = {
 #: Colour words and the spelling that they come to.
 COLOURS = {
     "navy blue": "navy", "navy": "navy", "dark blue": "navy", "light blue": "light blue", "sky blue": "light blue", "blue": "blue", "grey": "grey", "gray": "grey", "silver": "silver", "black": "black", "white": "white",
+    "schwarz": "black", "weiß": "white", "rot": "red", "grün": "green", "gelb": "yellow", "grau": "grey", "blau": "blue", "noir": "black", "blanc": "white", "rouge": "red", "vert": "green", "negro": "black", "blanco": "white", "rojo": "red", "nero": "black", "bianco": "white", "rosso": "red", "preto": "black", "branco": "white", "burgundy": "burgundy", "magenta": "magenta", "teal": "teal", "charcoal": "charcoal", "bronze": "bronze", "copper": "copper", "lime": "lime", "olive": "olive", "maroon": "maroon", "lilac": "lilac", "khaki": "khaki",
     "red": "red", "green": "green", "yellow": "yellow", "orange": "orange", "violet": "violet", "purple": "violet", "beige": "beige", "brown": "brown", "pink": "pink", "gold": "gold", "turquoise": "turquoise", "ivory": "ivory", "cream": "cream",
 }
 PACK_OF = r"(?:pack|set|box|bundle|lot|case)\s*of\s*(\d{1,3})(?!\d)"
 PACK = r"(?<![\d.])(\d{1,3})[\s-]*(?:pack|pcs|pc|pieces|piece|count|ct|units)(?![\p{L}])|(?<![\p{L}\d])x\s*(\d{1,3})(?![\p{L}\d.])|(?<![\d.])(\d{1,2})\s*x(?![\p{L}\d])"
-PART = r"(?<![a-z\d])([a-z]{2,4})[\s-]?(\d{3})[\s-]?(\d{3,5})(?![a-z\d])"
+#: Letters and digits in one or more parts: two to four letters and digits with gaps between, or any mixed word.
+PART = r"(?<![a-z\d])(?:[a-z]{2,4}[\s-]?\d{3}[\s-]?\d{3,5}|(?=[a-z\d./-]*\d[a-z./-]*\d)(?=[a-z\d./-]*[a-z])[a-z\d]+(?:[./-][a-z\d]+)*)(?![a-z\d])"
+#: What such a word is if it is none: a size, a pack count, a share.
+NO_PART = r"^(?:\d+(?:[.,x/-]\d+)*[./-]?(?:fl|oz|mm|cm|ml|cl|dl|mg|kg|inches|inch|in|ft|lbs|lb|litres?|liters?|m|l|g|pack|pcs|pc|pieces|piece|count|ct|units|x|w|v|a|ah|mah|hz|gb|tb|mb|k|p|th|st|nd|rd|er|s|h|min|yrs?|years?)(?:x\d+[a-z]*)*|x\d+|[a-z]\d)$"
+#: A part number for another product stands behind these.
+FITS = r"(?<![a-z])(?:for|fits|fit|compatible with|replaces|suits|für|pour|para|per|для)\s+(?:the\s+)?(?:models?\s+)?$"
 SIZE = r"(?<![\d.,])(\d+(?:\.\d+)?)\s*(fl\.?\s*oz|mm|cm|ml|cl|dl|mg|kg|inches|inch|in|ft|lbs|lb|litre|liter|oz|m|l|g|\")(?![\p{L}\d])"
 #: Two sizes are one if they differ by less than this share, as rounding in another unit allows.
 ROUNDING = 0.03
-#: A word that goes with more part numbers than this isn't a series name.
-MOST_MODELS = 60
+#: Share of the listings with a word that one brand must have for it to be a series name.
+ONE_BRAND = 0.75
 
 
 def folded(c: Column) -> Column:
     """Lower case with look-alike, full-width and accented letters as plain Latin, invisible characters taken out."""
     a, b = _folding()
-    return F.lower(F.translate(F.regexp_replace(c, r"[\p{Cf}\p{Mn}]", ""), a, b))
+    return F.when(c.rlike(r"\A[\x00-\x7F]*\z"), F.lower(c)).otherwise(F.lower(F.translate(F.regexp_replace(c, r"[\p{Cf}\p{Mn}]", ""), a, b)))
 
 
 def valid_gtins(c: Column) -> Column:
-    """The numbers of 8, 12, 13 or 14 digits in a text whose check digit is right, to 14 digits."""
-    numbers = F.transform(F.regexp_extract_all(c, F.lit(r"(?<!\d)(\d{8}|\d{12,14})(?!\d)"), 1), lambda x: F.lpad(x, 14, "0"))
+    """The numbers of 12 to 14 digits in a text whose check digit is right, and those of 8 that are named so, to 14 digits."""
+    long = F.regexp_extract_all(c, F.lit(r"(?<!\d)(\d{12,14})(?!\d)"), 1)
+    short = F.regexp_extract_all(c, F.lit(r"(?i)(?:ean|gtin|upc|barcode)[\s:#.-]*(\d{8})(?!\d)"), 1)
+    numbers = F.transform(F.concat(long, short), lambda x: F.lpad(x, 14, "0"))
     weigh = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.lit(0), lambda s, i: s + F.substring(x, i, F.lit(1)).cast("int") * (F.lit(1) + F.lit(2) * (i % 2)))
     return F.filter(numbers, lambda x: (weigh(x) % 10 == 0) & (x != "0" * 14))
 
 
-def _first_group(c: Column, pattern: str, groups: int) -> Column:
-    """The first non-empty group of the first match, null without a match."""
-    got = [F.regexp_extract(c, pattern, i + 1) for i in range(groups)]
-    return F.coalesce(*[F.when(g != "", g) for g in got])
+def part_number(c: Column) -> Column:
+    """The first part number of a folded text, in capital letters and digits alone; null without one.
+
+    It has five characters or more, two of them digits and one a letter, and is no size or count; one behind ``for``
+    or the like is another product's.
+    """
+    words = F.regexp_extract_all(F.regexp_replace(c, FITS[:-1] + PART, " "), F.lit(PART), 0)
+    bare = F.transform(F.filter(words, lambda x: ~x.rlike(NO_PART)), lambda x: F.upper(F.regexp_replace(x, r"[^a-z\d]", "")))
+    return F.try_element_at(F.filter(bare, lambda x: (F.length(x) >= 5) & x.rlike("[A-Z]")), F.lit(1))
+
+
+#: Words of sizes and counts, which name no series.
+COUNT_WORDS = ("pack", "packs", "piece", "pieces", "count", "units", "unit", "bundle", "case", "inch", "inches", "litre", "litres", "liter", "liters", "model")
 
 
 def features(listings: DataFrame) -> DataFrame:
-    """Of (listing, title, body, vendor): what a product is told by. A null title leaves the bracket of the body."""
-    body = folded(F.coalesce("body", F.lit("")))
-    title = folded(F.coalesce("title", F.lit("")))
-    bracket = F.regexp_extract(F.col("_body"), r"[(\[]\s*model[^)\]]*[)\]]?", 0)
-    df = listings.select("listing", "vendor", title.alias("_title"), body.alias("_body")).withColumn("_told", F.when(F.trim("_title") != "", F.col("_title")).otherwise(bracket)).withColumn("_sized", F.regexp_replace("_told", PACK_OF, " "))
-    part = lambda c: F.when(F.regexp_extract(c, PART, 2) != "", F.upper(F.concat(*[F.regexp_extract(c, PART, i) for i in (1, 2, 3)])))
-    unit = F.regexp_replace(F.regexp_replace(F.regexp_extract("_sized", SIZE, 2), r"\s+", " "), r"fl\.? ?oz", "fl oz")
+    """Of (listing, title, body, brand): what a product is told by. A null title leaves the bracket of the body.
+
+    Each step is a projection of its own, so that no pattern is searched twice for one row.
+    """
+    df = listings.select("listing", "brand", folded(F.coalesce("title", F.lit(""))).alias("_title"), F.coalesce("body", F.lit("")).alias("_raw"))
+    df = df.withColumn("_part", part_number(F.col("_title"))).withColumn("_untitled", F.trim("_title") == "")
+    # the body is read for a number or a bracket only where the title has none
+    df = df.withColumn("_body", F.when(F.col("_part").isNull() | F.col("_untitled"), folded(F.col("_raw"))))
+    bracket = F.regexp_extract(F.coalesce("_body", F.lit("")), r"[(\[]\s*model[^)\]]*[)\]]?", 0)
+    df = df.withColumn("_told", F.regexp_replace(F.when(F.col("_untitled"), bracket).otherwise(F.col("_title")), r"\s+", " "))
+    df = df.withColumn("_pack_of", F.regexp_extract("_told", PACK_OF, 1)).withColumn("_sized", F.when(F.col("_pack_of") == "", F.col("_told")).otherwise(F.regexp_replace("_told", PACK_OF, " ")))
+    df = df.withColumn("_size", F.regexp_extract("_sized", SIZE, 0))
+    df = df.withColumn("_count", F.when(F.col("_pack_of") == "", F.regexp_extract(F.when(F.col("_size") == "", F.col("_sized")).otherwise(F.regexp_replace("_sized", SIZE, " ")), PACK, 0)))
+    df = df.withColumn("_number", F.regexp_extract("_size", r"^\d+(?:\.\d+)?", 0))
+    df = df.withColumn("_unit", F.regexp_replace(F.trim(F.substring(F.col("_size"), F.length("_number") + 1, F.length("_size"))), r"fl\.? ?oz", "fl oz"))
     table = F.create_map(*[F.lit(x) for k, (d, v) in UNITS.items() for x in (k, v)])
     kinds = F.create_map(*[F.lit(x) for k, (d, v) in UNITS.items() for x in (k, d)])
-    colour = F.regexp_extract(F.regexp_replace("_told", r"\s+", " "), r"(?<![\p{L}])(" + "|".join(sorted(COLOURS, key=len, reverse=True)) + r")(?![\p{L}])", 1)
+    colour = F.regexp_extract("_told", r"(?<![\p{L}])(" + "|".join(sorted(COLOURS, key=len, reverse=True)) + r")(?![\p{L}])", 1)
     shade = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
-    words = F.regexp_extract_all(F.regexp_replace(F.concat_ws(" ", "_title", F.when(F.trim("_title") == "", F.col("_body"))), SIZE, " "), F.lit(r"(?<![a-z\d])([a-z]{5,})(?![a-z\d])"), 1)
+    words = F.regexp_extract_all(F.when(F.col("_untitled"), F.coalesce("_body", F.lit(""))).otherwise(F.col("_title")), F.lit(r"(?<![a-z\d])([a-z]{4,})(?![a-z\d])"), 1)
+    gtins = lambda c: F.when(F.col(c).rlike(r"\d{8}"), valid_gtins(F.col(c))).otherwise(F.array().cast("array<string>"))
     return df.select(
         "listing",
-        "vendor",
-        F.coalesce(part(F.col("_title")), part(F.col("_body"))).alias("part"),
-        F.element_at(F.concat(valid_gtins(F.col("_title")), valid_gtins(F.col("_body")), F.array(F.lit(None).cast("string"))), 1).alias("gtin"),
-        (F.regexp_extract("_sized", SIZE, 1).try_cast("double") * F.try_element_at(table, unit)).alias("size"),
-        F.try_element_at(kinds, unit).alias("dimension"),
+        "brand",
+        F.coalesce("_part", part_number(F.col("_body"))).alias("part"),
+        F.array_distinct(F.concat(gtins("_title"), gtins("_raw"))).alias("gtins"),
+        (F.col("_number").try_cast("double") * F.try_element_at(table, F.col("_unit"))).alias("size"),
+        F.try_element_at(kinds, F.col("_unit")).alias("dimension"),
         F.try_element_at(shade, colour).alias("colour"),
-        F.coalesce(_first_group(F.col("_told"), PACK_OF, 1).try_cast("int"), _first_group(F.regexp_replace("_sized", SIZE, " "), PACK, 3).try_cast("int"), F.lit(1)).alias("pack"),
-        F.array_distinct(words).alias("words"),
+        F.coalesce(F.col("_pack_of").try_cast("int"), F.regexp_extract("_count", r"\d+", 0).try_cast("int"), F.lit(1)).alias("pack"),
+        F.array_distinct(F.array_except(words, F.array(*[F.lit(w) for w in COUNT_WORDS]))).alias("words"),
     )
 
 
-def label_listings(listings: DataFrame, rounding: float = ROUNDING, most_models: int = MOST_MODELS) -> DataFrame:
-    """(listing, product): of (listing, title, body, vendor) each listing that has a key, with its product's label.
+def same_brand(a: Column, b: Column) -> Column:
+    """Two cleaned brands are one if they, or their first words, differ by slips of the keyboard, of which each may have one or two."""
+    x, y = F.split_part(a, F.lit(" "), F.lit(1)), F.split_part(b, F.lit(" "), F.lit(1))
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    near = lambda p, q: F.levenshtein(p, q) <= F.when(F.least(F.length(p), F.length(q)) >= 9, 4).when(F.least(F.length(p), F.length(q)) >= 7, 3).when(F.least(F.length(p), F.length(q)) >= 4, 1).otherwise(0)
+    return near(x, y) | near(bare(a), bare(b))
+
 
-    Nulls in any column, empty and very long texts are listings without that evidence; a listing without any key has
-    no row. Sizes of one series, colour and pack within ``rounding`` of each other are one size.
+def settled_brands(counts: DataFrame, group: list[str]) -> DataFrame:
+    """(group.., brand, n, settled) of (group.., brand, n): each brand, or the most frequent one of its group that it is but for slips.
+
+    What isn't the most frequent one of all is held against the most frequent of the rest with its first letter.
     """
-    f = cut_lineage(features(spread(listings)))
-    signature = F.coalesce("part", F.concat_ws("/", F.round(F.log("size") * 30).cast("string"), "colour", "pack"))
-    pairs = f.select(F.explode("words").alias("word"), signature.alias("_s")).distinct()
-    vendors = f.select("vendor").distinct().select(F.explode(F.split(folded(F.coalesce("vendor", F.lit(""))), r"[^\p{L}]+")).alias("word")).filter(F.length("word") >= 5).distinct()
-    colours = [w for c in COLOURS for w in c.split() if len(w) >= 5]
-    series = pairs.groupBy("word").agg(F.count("*").alias("_m")).filter((F.col("_m") <= most_models) & ~F.col("word").isin(colours)).join(vendors, "word", "left_anti").select("word", "_m")
-    named = f.select("listing", F.explode("words").alias("word")).join(series, "word").groupBy("listing").agg(F.max_by("word", F.struct("_m", "word")).alias("series"))
-    full = cut_lineage(f.drop("words", "vendor").join(named, "listing", "left"))
-
-    keys = full.filter(F.col("series").isNotNull() & F.col("size").isNotNull() & F.col("colour").isNotNull() & (F.col("size") > 0))
-    group = ["series", "colour", "pack", "dimension"]
-    sizes = keys.select(*group, "size").distinct()
-    by = Window.partitionBy(*group).orderBy("size")
-    starts = F.when(F.lag("size").over(by).isNull() | (F.log(F.col("size") / F.lag("size").over(by)) > rounding), F.col("size"))
-    sizes = sizes.withColumn("size0", F.last(starts, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    keys = keys.join(sizes, [*group, "size"]).select("listing", "part", F.concat_ws("/", "series", "colour", "pack", "dimension", F.col("size0").cast("string")).alias("key"))
-    leads = keys.filter(F.col("part").isNotNull()).groupBy("key").agg(F.min("part").alias("_to"), F.max("part").alias("_other")).filter(F.col("_to") == F.col("_other")).select("key", "_to")
-    told = keys.select("listing", "key").join(leads, "key", "left")
-    product = F.coalesce(F.concat(F.lit("part:"), "part"), F.concat(F.lit("part:"), "_to"), F.concat(F.lit("gtin:"), "gtin"), F.concat(F.lit("key:"), "key"))
-    return full.select("listing", "part", "gtin").join(told, "listing", "left").select("listing", product.alias("product")).filter(F.col("product").isNotNull())
+    best = lambda: F.max_by("brand", F.struct("n", "brand"))
+    told = counts.join(counts.groupBy(*group).agg(best().alias("_m")), group).withColumn("_same", same_brand(F.col("brand"), F.col("_m")))
+    rest = told.filter(~F.col("_same")).withColumn("_l", F.substring("brand", 1, 1))
+    second = rest.groupBy(*group, "_l").agg(best().alias("_m2"))
+    again = rest.join(second, [*group, "_l"]).select(*group, "brand", "n", F.when(same_brand(F.col("brand"), F.col("_m2")), F.col("_m2")).otherwise(F.col("brand")).alias("settled"))
+    return told.filter("_same").select(*group, "brand", "n", F.col("_m").alias("settled")).unionByName(again)
 
 
-def product_groups(walmart: DataFrame, amazon: DataFrame) -> DataFrame:
-    """(listing, product) over both tables; a listing key is ``amazon:<row_id>`` or ``walmart:<item_id>``.
+def series_words(words: DataFrame, settled: DataFrame, one_brand: float = ONE_BRAND) -> DataFrame:
+    """(word): those of ``words`` (word) that nearly all listings of one brand have, by (word, settled, n).
+
+    The measure is a share, so that it doesn't depend on the number of listings, of models or of their copies.
+    """
+    by = settled.groupBy("word", "settled").agg(F.sum("n").alias("n"))
+    shares = by.groupBy("word").agg(F.max("n").alias("_most"), F.sum("n").alias("_all"))
+    # no brand speaks against a word that none has
+    return words.distinct().join(shares, "word", "left").filter(F.col("_all").isNull() | (F.col("_most") >= one_brand * F.col("_all"))).select("word")
+
+
+def same_sizes(sizes: DataFrame, group: list[str], rounding: float = ROUNDING) -> DataFrame:
+    """(group.., size, size0): each size with the least one of its cluster, a gap or twice its width beginning a new one.
+
+    A group's distinct sizes, to four digits, are bounded by the ranges of the units, so each group is folded in a row.
+    """
+    def fold(acc: Column, x: Column) -> Column:
+        anchor = F.element_at(acc, -1)
+        fresh = F.size(acc) == 0
+        begins = fresh | (x > anchor["size"] * (1 + rounding)) | (x > anchor["size0"] * (1 + 2 * rounding))
+        return F.concat(acc, F.array(F.struct(x.alias("size"), F.when(begins, x).otherwise(anchor["size0"]).alias("size0"))))
+
+    empty = F.array().cast("array<struct<size:double,size0:double>>")
+    per = sizes.select(*group, "size").distinct().groupBy(*group).agg(F.array_sort(F.collect_list("size")).alias("_s"))
+    return per.select(*group, F.explode(F.aggregate("_s", empty, fold)).alias("_x")).select(*group, "_x.size", "_x.size0")
 
-    Copies in layout of an amazon listing get its product, and a product of their own where nothing else names one.
+
+def guarded(keys: DataFrame, *witnesses: str) -> DataFrame:
+    """(listing, key): of (listing, key, witnesses..) each key, split by a witness of which its listings have several.
+
+    Listings without that witness then share a part of their own. Two aggregates a witness, so a hot key is one row a
+    task before it is shuffled.
     """
+    several = keys.groupBy("key").agg(*[x for w in witnesses for x in (F.min(w).alias(f"_lo_{w}"), F.max(w).alias(f"_hi_{w}"))])
+    split = several.select("key", *[(F.col(f"_lo_{w}") < F.col(f"_hi_{w}")).alias(f"_two_{w}") for w in witnesses])
+    part = [F.when(F.col(f"_two_{w}"), F.concat(F.lit("|"), F.coalesce(w, F.lit("-")))).otherwise(F.lit("")) for w in witnesses]
+    return keys.join(split, "key").select("listing", F.concat("key", *part).alias("key"))
+
+
+def listing_keys(listings: DataFrame, rounding: float = ROUNDING, one_brand: float = ONE_BRAND, names: DataFrame | None = None) -> DataFrame:
+    """(listing, key) of (listing, title, body, brand): all keys of a listing, guarded; ``names`` are words of brands.
+
+    What several later stages read is written: else each would compute it again.
+    """
+    f = cut_lineage(features(spread(listings)))
+    told = f.filter(F.col("brand").isNotNull())
+    of_word = told.select(F.lit("word").alias("kind"), F.explode("words").alias("word"), "brand")
+    of_part = told.filter(F.col("part").isNotNull()).select(F.lit("part").alias("kind"), F.col("part").alias("word"), "brand")
+    counts = cut_lineage(of_word.unionByName(of_part).groupBy("kind", "word", "brand").agg(F.count("*").alias("n")))
+    settled = cut_lineage(settled_brands(counts, ["kind", "word"]))
+
+    first = f.select("listing", "part", "brand", F.try_element_at("gtins", F.lit(1)).alias("gtin"), "words", "size", "dimension", "colour", "pack")
+    none = F.lit(None).cast("string")
+    by_gtin = f.select("listing", F.explode(F.transform("gtins", lambda g: F.concat(F.lit("gtin:"), g))).alias("key"), F.col("part").alias("w1"), none.alias("w2"), none.alias("w3"))
+    parts = first.filter(F.col("part").isNotNull()).select("listing", "part", "brand", "gtin", "colour")
+    named = settled.filter("kind = 'part'").select(F.col("word").alias("part"), "brand", "settled")
+    by_part = parts.join(named, ["part", "brand"], "left").select("listing", F.concat(F.lit("part:"), "part").alias("key"), F.col("settled").alias("w1"), F.col("gtin").alias("w2"), F.col("colour").alias("w3"))
+
+    colours = [w for c in COLOURS for w in c.split() if len(w) >= 4]
+    sized = first.filter(F.col("size").isNotNull() & (F.col("size") > 0) & F.col("colour").isNotNull())
+    digits = F.pow(F.lit(10.0), F.floor(F.log10("size")) - 3)
+    likes = sized.withColumn("size", F.round(F.col("size") / digits) * digits).select("listing", "part", "gtin", "size", "dimension", "colour", "pack", F.explode("words").alias("word"))
+    likes = likes.filter(~F.col("word").isin(colours))
+    series = series_words(likes.select("word"), settled.filter("kind = 'word'"), one_brand)
+    if names is not None:
+        series = series.join(names.select("word").distinct(), "word", "left_anti")
+    likes = cut_lineage(likes.join(series, "word"))
+    group = ["word", "colour", "pack", "dimension"]
+    likes = likes.join(same_sizes(likes, group, rounding), [*group, "size"])
+    by_like = likes.select("listing", F.concat_ws("/", F.lit("like:"), "word", "colour", "pack", "dimension", F.col("size0").cast("string")).alias("key"), F.col("part").alias("w1"), F.col("gtin").alias("w2"), none.alias("w3"))
+    return guarded(cut_lineage(by_gtin.unionByName(by_part).unionByName(by_like)), "w1", "w2", "w3")
+
+
+def label_listings(listings: DataFrame, rounding: float = ROUNDING, one_brand: float = ONE_BRAND, names: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+    """(listing, product): of (listing, title, body, brand) each listing that has a key, with its product's label.
+
+    ``more`` are further keys (listing, key) that listings share, taken as they are. Nulls in any column, empty and very
+    long texts are listings without that evidence; a listing without any key has no row.
+    """
+    keys = listing_keys(listings, rounding, one_brand, names)
+    keys = cut_lineage(keys.unionByName(more) if more is not None else keys)
+    of = keys.groupBy("listing").agg(F.min("key").alias("_first"))
+    edges = keys.join(of, "listing").select(F.col("key").alias("a"), F.col("_first").alias("b")).distinct()
+    product = components(edges)
+    return of.join(product, F.col("_first") == F.col("node")).select("listing", F.col("component").alias("product"))
+
+
+def _listings(walmart: DataFrame, amazon: DataFrame) -> DataFrame:
     text = lambda df, c: F.array_join(c, " ") if isinstance(df.schema[c].dataType, T.ArrayType) else F.col(c)
     a = amazon.select(F.concat(F.lit("amazon:"), "row_id").alias("listing"), "title", text(amazon, "description").alias("body"), F.col("brand").alias("vendor"))
     w = walmart.select(F.concat(F.lit("walmart:"), "item_id").alias("listing"), "title", F.lit(None).cast("string").alias("body"), F.col("brand").alias("vendor"))
-    labels = label_listings(a.unionByName(w))
-    copies = copy_members(amazon).select(F.concat(F.lit("amazon:"), "row_id").alias("listing"), F.concat(F.lit("copy:"), "gid").alias("gid"))
-    both = labels.join(copies, "listing", "full_outer")
-    of_copy = both.filter(F.col("gid").isNotNull()).groupBy("gid").agg(F.min("product").alias("_p"))
-    return both.join(of_copy, "gid", "left").select("listing", F.coalesce(F.col("_p"), F.col("product"), F.col("gid")).alias("product"))
+    return a.unionByName(w)
+
+
+def product_groups(walmart: DataFrame, amazon: DataFrame) -> DataFrame:
+    """(listing, product) over both tables; a listing key is ``amazon:<row_id>`` or ``walmart:<item_id>``.
+
+    Copies in layout of an amazon listing are of its product, and of one of their own where nothing else names one. A
+    listing without any evidence is a product of its own.
+    """
+    both = _listings(walmart, amazon)
+    turned = F.when(F.contains("_c", F.lit(",")), F.concat_ws(" ", F.split_part("_c", F.lit(","), F.lit(2)), F.split_part("_c", F.lit(","), F.lit(1)))).otherwise(F.col("_c"))
+    typed = both.withColumn("_c", F.expr(clean_sql("vendor"))).withColumn("_c", F.trim(turned))
+    listings = typed.select("listing", "title", "body", F.when((F.col("_c") != "") & ~F.col("_c").isin(*NO_BRAND), F.col("_c")).alias("brand"))
+    names = listings.select(F.explode(F.split("brand", r"[^\p{L}]+")).alias("word")).filter(F.length("word") >= 4)
+    copies = copy_members(amazon).select(F.concat(F.lit("amazon:"), "row_id").alias("listing"), F.concat(F.lit("copy:"), "gid").alias("key"))
+    told = label_listings(listings, names=names, more=copies)
+    alone = both.select("listing").join(told.select("listing"), "listing", "left_anti").select("listing", F.concat(F.lit("only:"), "listing").alias("product"))
+    return told.unionByName(alone)
+
+
+def product_members(groups: DataFrame) -> DataFrame:
+    """(listing, product, n_listings): the product as the least of its listings, and how many it has."""
+    of = groups.groupBy("product").agg(F.min("listing").alias("_rep"), F.count("*").alias("n_listings"))
+    return groups.join(of, "product").select("listing", F.col("_rep").alias("product"), "n_listings")
 
 
-def product_pairs(walmart: DataFrame, amazon: DataFrame) -> DataFrame:
+def product_pairs(groups: DataFrame) -> DataFrame:
     """(listing_a, listing_b): all pairs of listings of one product, the smaller key first."""
-    groups = product_groups(walmart, amazon)
     a, b = groups.select("product", F.col("listing").alias("listing_a")), groups.select("product", F.col("listing").alias("listing_b"))
     return a.join(b, "product").filter(F.col("listing_a") < F.col("listing_b")).select("listing_a", "listing_b")
