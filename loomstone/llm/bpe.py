@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..runtime import spread
-from .arrowtext import single
+from .arrowtext import slices
 
 #: Fixed value: the cutting pattern published with the 50k byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Pieces wider than this go through a heap, as a round over a matrix row costs its width.
 WIDEST_ROW = 1024
+#: Bytes of text that are encoded at once, about.
+BATCH_BYTES = 4_000_000
 NONE = np.int32(2**31 - 1)
 _ENCODERS: dict[str, "BytePairEncoder"] = {}
 
@@ -86,8 +88,19 @@ class BytePairEncoder:
         self.pairs = PairTable(np.array(keys, np.int64), np.array(values, np.int32))
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.cut = regex.compile(pattern).findall
-        self.keep, self.known = keep, {}
-        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.keep = keep
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.n_ids, self.ids, self.starts = 0, np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+
+    def _room(self, ids: int, pieces: int) -> None:
+        """Twice the room where the arrays of what is known would not do, so that each id is copied a few times in all."""
+        if self.n_ids + ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(ids, len(self.ids)), np.int32)])
+        if len(self.known) + pieces + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(pieces + 1, len(self.starts)), np.int64)])
 
     def _wide(self, piece: bytes) -> np.ndarray:
         """One long piece, by a heap of (rank, place): the same merges in the same order."""
@@ -176,15 +189,17 @@ class BytePairEncoder:
                     out[i] = row[:length]
             lo = hi
         lengths = np.array([len(x) for x in out], np.int64)
-        base = len(self.starts) - 1
-        self.ids = np.concatenate([self.ids, *out]) if out else self.ids
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        base, total = len(self.known), int(lengths.sum())
+        self._room(total, len(pieces))
+        self.ids[self.n_ids : self.n_ids + total] = np.concatenate(out)
+        self.starts[base + 1 : base + 1 + len(pieces)] = self.n_ids + np.cumsum(lengths)
+        self.n_ids += total
         self.known.update(zip(pieces, range(base, base + len(pieces))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the offset of each text; a null or empty text has none."""
         if len(self.known) > self.keep:
-            self.known, self.ids, self.starts = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+            self._forget()
         cut = [self.cut(t) if t else [] for t in texts]
         new = {p for pieces in cut for p in pieces if p not in self.known}
         if new:
@@ -218,8 +233,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(file)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for part in slices(batch, 1, BATCH_BYTES):
                 values, offsets = enc.encode(part.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, ids])
@@ -229,23 +243,38 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     return spread(slim).mapInArrow(run, f"`{key}` {kind}, `{ids}` array<int>")
 
 
-def token_counts(df: DataFrame, key: str, text: str, tokenizer: str, name: str = "n_tokens") -> DataFrame:
-    """(all columns of df, name BIGINT): the tokens of each text by a public tokenizer, 0 for null and empty texts."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    at = df.columns.index(text)
+def _counter(tokenizer: str) -> Callable[[list[str | None]], np.ndarray]:
+    if tokenizer.startswith("piece"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(f"{tokenizer}.model"))
+        return lambda texts: np.array([len(x) for x in model.encode([t or "" for t in texts], num_threads=1)], np.int64)
+    if tokenizer.startswith("word"):
+        from tokenizers import Tokenizer
+
+        words = Tokenizer.from_file(tokenizer_path(f"{tokenizer}.json"))
+        words.encode_special_tokens = True
+        return lambda texts: np.array([len(x.ids) for x in words.encode_batch([t or "" for t in texts], add_special_tokens=False)], np.int64)
+    enc = encoder(tokenizer_path(f"{tokenizer}.tiktoken"))
+    return lambda texts: np.diff(enc.encode(texts)[1])
+
+
+def token_counts(df: DataFrame, text: str, tokenizers: list[str], name: str = "n_tokens") -> DataFrame:
+    """(all columns of df but the text, name ARRAY<BIGINT>): the tokens of each text by each of some public tokenizers.
+
+    Null and empty texts have none. The texts are read once for all tokenizers.
+    """
+    rest = [f for f in df.schema.fields if f.name != text]
+    schema = T.StructType([*rest, T.StructField(name, T.ArrayType(T.LongType()))])
+    at, others = df.columns.index(text), [i for i, c in enumerate(df.columns) if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer.startswith("piece"):
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(f"{tokenizer}.model"))
-            count = lambda texts: [len(x) for x in model.encode([t or "" for t in texts], num_threads=1)]
-        else:
-            enc = encoder(tokenizer_path(f"{tokenizer}.tiktoken"))
-            count = lambda texts: np.diff(enc.encode(texts)[1])
+        counters = [_counter(t) for t in tokenizers]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(count(part.column(at).to_pylist()), pa.int64())], names=[*part.schema.names, name])
+            for part in slices(batch, at, BATCH_BYTES):
+                texts = part.column(at).to_pylist()
+                flat = np.stack([c(texts) for c in counters], 1).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(counters)), pa.array(flat, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in others], lists], names=[f.name for f in schema.fields])
 
     return spread(df).mapInArrow(run, schema)

@@ -3,8 +3,9 @@
 Items are dealt by hash into chunks of a bounded number of containers and each chunk is packed by best fit, the
 largest item first. Open containers are ordered by their residual space, and the search goes from the tightest that
 holds the item upwards until one is compatible: it must not hold a copy of the item already. Containers carry bitmaps
-of the duplicate clusters and of the sources that they hold; among equally tight ones those without the item's source
-come first. A cluster so frequent that its copies can't all lie apart is cut into shares that can.
+of the duplicate clusters and of the sources that they hold, a bit for each that comes more than once; among equally
+tight ones those without the item's source come first. A cluster with more copies than containers is cut into shares of
+as many copies as there are containers, and clusters that nearly every container must hold are packed first.
 """
 
 from __future__ import annotations
@@ -22,53 +23,62 @@ from .layout_copies import letters_and_digits
 
 #: Containers and items that one chunk is cut to, about; the space lost at its end is below one container.
 CHUNK_BINS, CHUNK_ITEMS = 2000, 60_000
-WIDTH = 256
+#: A cluster with more copies than this share of the containers is packed before the others.
+CROWDED = 0.25
 
 
-def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capacity: int, look: int = 16) -> np.ndarray:
-    """The container of each item of 1 to ``capacity``; items of one cluster lie apart, as far as there are containers.
+def numbered(values: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, copies): values that come more than once numbered from 0, the others -1, and how often each comes.
 
-    ``look`` is how many equally tight containers are looked at for one without the item's source.
+    One that comes more often than ``share`` times is cut into shares of so many, each with a number of its own.
     """
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    run = np.cumsum(fresh) - 1
+    start = np.flatnonzero(fresh)[run]
+    count = np.bincount(run)[run]
+    part = (np.arange(len(values)) - start) // share
+    again = count > 1
+    begins = (fresh | np.concatenate([[False], part[1:] != part[:-1]])) & again
+    number, copies = np.full(len(values), -1, np.int64), np.empty(len(values), np.int64)
+    number[order] = np.where(again, np.cumsum(begins) - 1, -1)
+    copies[order] = count
+    return number, copies
+
+
+def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capacity: int) -> np.ndarray:
+    """The container of each item of 1 to ``capacity``; no container holds two items of a cluster, unless it has more
+    items than there are containers."""
     n = len(sizes)
     where = np.full(n, -1, np.int64)
     if not n:
         return where
     least = max(1, -(-int(sizes.sum()) // capacity))
-    # number the clusters that repeat here; one with more copies than half the containers is cut into smaller shares
-    order = np.argsort(clusters, kind="stable")
-    ranked = clusters[order]
-    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    count = np.bincount(np.cumsum(fresh) - 1)[np.cumsum(fresh) - 1]
-    share = np.where(count > least // 2, (np.arange(n) - start) // max(1, least // 8), 0)
-    key = np.cumsum(fresh | np.concatenate([[False], share[1:] != share[:-1]])) - 1
-    number = np.full(n, -1, np.int64)
-    number[order] = np.where(count > 1, key, -1)
-    bit_of = [0 if x < 0 else 1 << (x % WIDTH) for x in number.tolist()]
-    source_bit = [1 << (int(x) % WIDTH) for x in sources.tolist()]
+    cluster, copies = numbered(clusters, least)
+    source, _ = numbered(sources, n)
+    order = np.lexsort((-sizes, copies <= CROWDED * least))
 
     at_residual: list[list[int]] = [[] for _ in range(capacity + 1)]
     held, came = [], []  # bitmaps of each container
     open_ = 0  # bit r: a container with residual r
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        size, bit, src = int(sizes[i]), bit_of[i], source_bit[i]
+    for i, size, x, y in zip(order.tolist(), sizes[order].tolist(), cluster[order].tolist(), source[order].tolist()):
+        bit, src = (1 << x if x >= 0 else 0), (1 << y if y >= 0 else 0)
         mask = open_ >> size << size
         chosen = residual = -1
         while mask:
             low = mask & -mask
             r = low.bit_length() - 1
-            seen = 0
-            for place, b in enumerate(reversed(at_residual[r])):
+            line = at_residual[r]
+            for place in range(len(line) - 1, -1, -1):
+                b = line[place]
                 if held[b] & bit:
                     continue
-                if chosen < 0 or not came[b] & src:
-                    chosen, residual, at = b, r, len(at_residual[r]) - 1 - place
-                    if not came[b] & src:
-                        break
-                seen += 1
-                if seen >= look:
+                if not came[b] & src:
+                    chosen, residual, at = b, r, place
                     break
+                if chosen < 0:
+                    chosen, residual, at = b, r, place
             if chosen >= 0:
                 break
             mask ^= low
@@ -94,13 +104,14 @@ def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capac
 
 
 def item_sizes(documents: DataFrame, tokenizers: list[str], key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, tokenizer, size, cluster, source_hash) of every document: its tokens, its copies' cluster, its source."""
-    base = documents.select(key, text, F.xxhash64(F.coalesce(letters_and_digits(F.col(text)), F.lit(""))).alias("cluster"), F.xxhash64(F.coalesce(F.col(source), F.lit(""))).alias("source_hash"))
-    parts = [token_counts(base, key, text, t, "size").select(key, F.lit(t).alias("tokenizer"), "size", "cluster", "source_hash") for t in tokenizers]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(key, tokenizer, size, cluster, source_hash) of every document: its tokens, its copies' cluster, its source.
+
+    The texts are read once, for all tokenizers.
+    """
+    base = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(F.coalesce(letters_and_digits(F.col(text)), F.lit(""))).alias("cluster"), F.xxhash64(F.coalesce(F.col(source), F.lit(""))).alias("source_hash"))
+    counted = token_counts(base, "_t", tokenizers, "_n")
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(t) for t in tokenizers]).alias("tokenizer"), F.col("_n").alias("size"))).alias("_x")
+    return counted.select(F.col("_k").alias(key), "cluster", "source_hash", each).select(key, F.col("_x.tokenizer").alias("tokenizer"), F.col("_x.size").alias("size"), "cluster", "source_hash")
 
 
 def pack(documents: DataFrame, containers: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -152,3 +163,27 @@ def space_left(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """(container_id, capacity, bins, tokens, left_share) of a packing."""
     bins = packed.groupBy("container_id", "bin").agg(F.sum("n_tokens").alias("_n"))
     return bins.groupBy("container_id").agg(F.count("*").alias("bins"), F.sum("_n").alias("tokens")).join(containers.select("container_id", "capacity"), "container_id").select("container_id", "capacity", "bins", "tokens", F.round(1 - F.col("tokens") / (F.col("bins") * F.col("capacity")), 6).alias("left_share"))
+
+
+def violations(packed: DataFrame, documents: DataFrame, containers: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(container_id, what, n): what a packing must not hold, empty if it is right.
+
+    ``overfull`` containers; documents ``missing`` from a row of ``containers`` or packed ``twice``; documents ``cut`` that
+    would fit; and ``copies`` that share a container of their chunk although others of it hold none.
+    """
+    caps = containers.select("container_id", "capacity")
+    bins = packed.groupBy("container_id", "bin").agg(F.sum("n_tokens").alias("_n")).join(caps, "container_id")
+    overfull = bins.filter(F.col("_n") > F.col("capacity")).select("container_id", F.lit("overfull").alias("what"))
+    rows = packed.groupBy("container_id", key).agg(F.count("*").alias("_rows"), F.count_distinct("part").alias("_parts"), F.sum("n_tokens").alias("_n"))
+    wanted = documents.select(key).groupBy(key).agg(F.count("*").alias("_d")).crossJoin(F.broadcast(caps))  # the few rows of containers
+    told = wanted.join(rows, ["container_id", key], "left")
+    missing = told.filter(F.col("_rows").isNull()).select("container_id", F.lit("missing").alias("what"))
+    twice = told.filter((F.col("_d") == 1) & (F.col("_rows") > F.col("_parts"))).select("container_id", F.lit("twice").alias("what"))
+    cut = told.filter((F.col("_d") == 1) & (F.col("_parts") > 1) & (F.col("_n") <= F.col("capacity"))).select("container_id", F.lit("cut").alias("what"))
+    clusters = documents.filter(F.length(text) > 0).select(key, F.xxhash64(letters_and_digits(F.col(text))).alias("_c"))
+    last = packed.filter(F.col("n_tokens") > 0).join(caps, "container_id").filter(F.col("n_tokens") < F.col("capacity")).join(clusters, key).withColumn("_chunk", F.shiftright("bin", 32))
+    per = last.groupBy("container_id", "_chunk", "_c", "bin").agg(F.count("*").alias("_in")).groupBy("container_id", "_chunk", "_c").agg(F.sum("_in").alias("_all"), F.max("_in").alias("_most"))
+    number = packed.groupBy("container_id", F.shiftright("bin", 32).alias("_chunk")).agg(F.count_distinct("bin").alias("_bins"))
+    copies = per.filter(F.col("_most") > 1).join(number, ["container_id", "_chunk"]).filter(F.col("_most") > F.ceil(F.col("_all") / F.col("_bins")) + 1).select("container_id", F.lit("copies").alias("what"))
+    every = overfull.unionByName(missing).unionByName(twice).unionByName(cut).unionByName(copies)
+    return every.groupBy("container_id", "what").agg(F.count("*").alias("n"))
