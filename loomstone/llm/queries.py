@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import table
+from ..runtime import cut_lineage, table
 from .bpe import encode_corpus
-from .canonical_values import NO_BRAND, clean_sql, map_values
+from .canonical_values import LONG, NO_BRAND, clean_sql, map_values
 from .languages import listing_languages, missing_or_wrong
-from .layout_copies import collapse_copies, copy_pairs
+from .layout_copies import collapse_copies, copy_pairs, copy_representatives
 from .lookalike import found_fields, normalise_lookalikes
 from .markup import clean_listings, marked_fields
-from .packing import pack, space_left
+from .packing import pack, space_left, violations
 from .residue import exclude_residue, score_residue
-from .same_product import product_groups, product_pairs
+from .same_product import product_groups, product_members, product_pairs
 from .sentences import sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def _p2_listings(spark: SparkSession, d: str) -> DataFrame:
     return collapse_copies(table(spark, d, "amazon_raw")).select("row_id", "title", "brand", "n_copies")
 
 
+def _p2_members(spark: SparkSession, d: str) -> DataFrame:
+    return copy_representatives(table(spark, d, "amazon_raw"))
+
+
 def _p3_found(spark: SparkSession, d: str) -> DataFrame:
     return score_residue(table(spark, d, "walmart")).filter("is_residue").select("item_id").distinct()
 
@@ -53,12 +57,16 @@ def _p4_listings(spark: SparkSession, d: str) -> DataFrame:
     return clean_listings(table(spark, d, "amazon_raw"), table(spark, d, "category_list"))
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return product_groups(table(spark, d, "walmart"), table(spark, d, "amazon_raw"))
+
+
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return product_pairs(table(spark, d, "walmart"), table(spark, d, "amazon_raw"))
+    return product_pairs(_groups(spark, d))
 
 
-def _p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    return product_groups(table(spark, d, "walmart"), table(spark, d, "amazon_raw"))
+def _p5_members(spark: SparkSession, d: str) -> DataFrame:
+    return product_members(_groups(spark, d))
 
 
 def _p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +93,10 @@ def _p9_space(spark: SparkSession, d: str) -> DataFrame:
     return space_left(_p9_packed(spark, d), table(spark, d, "container_sizes"))
 
 
+def _p9_violations(spark: SparkSession, d: str) -> DataFrame:
+    return violations(cut_lineage(_p9_packed(spark, d)), table(spark, d, "documents"), table(spark, d, "container_sizes"))
+
+
 def _p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"))
 
@@ -94,23 +106,26 @@ QUERIES: dict[str, Query] = {
     "p1_forms": _p1_forms,
     "p2_found": _p2_found,
     "p2_listings": _p2_listings,
+    "p2_members": _p2_members,
     "p3_found": _p3_found,
     "p3_kept": _p3_kept,
     "p4_found": _p4_found,
     "p4_listings": _p4_listings,
     "p5_found": _p5_found,
-    "p5_groups": _p5_groups,
+    "p5_members": _p5_members,
     "p6_found": _p6_found,
     "p6_languages": _p6_languages,
     "p7_found": _p7_found,
     "p8_ids": _p8_ids,
     "p9_packed": _p9_packed,
     "p9_space": _p9_space,
+    "p9_violations": _p9_violations,
     "p10_found": _p10_found,
 }
 
 _CASES = (
-    r"[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{0300}-\x{036F}\x{00A0}\x{1680}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{FEFF}\x{00AD}]"
+    r"[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{0300}-\x{036F}\x{00A0}\x{1680}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{FEFF}\x{00AD}\x{3099}\x{309A}]"
+    r"|(?:^|[^\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}])\x{3000}(?:$|[^\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}])"
     r"|\p{Latin}[\p{N}\p{M}]*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][\p{N}\p{M}]*\p{Latin}|\p{Greek}[\p{N}\p{M}]*\p{Cyrillic}|\p{Cyrillic}[\p{N}\p{M}]*\p{Greek}"
 )
 _LETTERS = r"regexp_replace(replace(replace(replace(lower({}), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
@@ -131,6 +146,10 @@ ORACLES: dict[str, str] = {
     "p2_listings": f"""
         WITH c AS ({_COPIES}), g AS (SELECT min(row_id) AS row_id, count(*) AS n_copies FROM c GROUP BY t, b, d)
         SELECT row_id, title, brand, n_copies FROM g JOIN c USING (row_id)""",
+    "p2_members": f"""
+        WITH c AS ({_COPIES}), g AS (SELECT t, b, d, min(row_id) AS gid, count(*) AS n_copies FROM c GROUP BY t, b, d)
+        SELECT row_id, gid, n_copies FROM c JOIN g ON c.t IS NOT DISTINCT FROM g.t AND c.b IS NOT DISTINCT FROM g.b AND c.d IS NOT DISTINCT FROM g.d""",
+    "p9_violations": "SELECT container_id, '' AS what, 0::BIGINT AS n FROM container_sizes WHERE false",
     "p7_found": f"""
         WITH vals AS (SELECT DISTINCT brand AS v FROM amazon_raw WHERE regexp_replace(brand, '[\\s\\p{{Z}}]+', '', 'g') != ''),
         cleaned AS (SELECT v, {clean_sql('v', 'duckdb')} AS c FROM vals),
@@ -138,15 +157,15 @@ ORACLES: dict[str, str] = {
             SELECT DISTINCT c, string_split(trim(regexp_replace(t, '[ :]+', ' ', 'g')), ' ') AS w FROM (
                 SELECT c, replace(c, ',', ' ') AS t FROM cleaned WHERE c != '' AND c NOT IN ({_NO_BRAND})
                 UNION SELECT c, concat_ws(' ', split_part(c, ',', 2), split_part(c, ',', 1)) FROM cleaned WHERE c LIKE '%,%' AND c NOT IN ({_NO_BRAND}))),
-        probes AS (SELECT DISTINCT c, array_to_string(w[1:n], ' ') AS p FROM turned, range(1, 5) r(n) WHERE n <= len(w)),
+        probes AS (SELECT DISTINCT c, array_to_string(w[1:n], ' ') AS p FROM (SELECT c, w, unnest(range(1, len(w) + 1)) AS n FROM turned)),
         entries AS (SELECT brand_id AS id, trim(replace({clean_sql('brand', 'duckdb')}, ',', ' ')) AS e FROM brand_list WHERE brand IS NOT NULL),
         firsts AS (SELECT split_part(e, ' ', 1) AS f, max(id) AS id, max(e) AS e FROM entries GROUP BY 1 HAVING count(*) = 1),
         names AS (SELECT id, e AS name, 0 AS short FROM entries UNION ALL SELECT id, f, 1 FROM firsts WHERE f != e),
         near AS (
             SELECT c, id, name, short, levenshtein(p, name) AS d, p FROM probes, names WHERE abs(length(p) - length(name)) <= 2),
         fits AS (
-            SELECT * FROM near WHERE d = 0 OR (length(name) > 3 AND (d = 1 OR (d = 2 AND length(p) = length(name)
-                AND list_sort(string_split(p, '')) = list_sort(string_split(name, '')))))),
+            SELECT * FROM near WHERE d = 0 OR (length(name) > 3 AND (d = 1 OR (d = 2 AND (length(name) >= {LONG} OR length(p) = length(name)
+                AND list_sort(string_split(p, '')) = list_sort(string_split(name, ''))))))),
         best AS (
             SELECT c, id FROM fits QUALIFY row_number() OVER (PARTITION BY c ORDER BY len(string_split(name, ' ')) DESC,
                 CASE WHEN d = 0 THEN length(name) ELSE 0 END DESC, d, short, length(name) DESC, id) = 1)
