@@ -20,7 +20,7 @@ from ..operators import profile as S
 from ..operators import prune as R
 from ..operators import sampling as A
 from ..operators import vectorize as V
-from ..operators.language_filter import PROFILES, detect, fill_from_cache, keep_language
+from ..operators.language_filter import PROFILES, SCRIPTS, UNKNOWN, detect, fill_from_cache, keep_language
 from ..runtime import cut_lineage, scratch_path, table
 from ..sources import io
 from . import pipelines
@@ -31,7 +31,6 @@ ORACLES: dict[str, str] = {}
 
 #: Bounds of frequencies for these tables.
 LEAST_BIGRAM, LEAST_BRAND, LEAST_CATEGORY = 10, 5, 20
-ASCII = r"^[\x00-\x7F]*$"
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
@@ -271,37 +270,28 @@ def tokenize_corpus(s, d):
     return _token_counts(written(s, d), K.WORDS_SPLIT)
 
 
-#: The part of the documents on which the dialects agree; the queries on it are checks, those named ``_all`` do the whole job.
-_PLAIN = rf"SELECT * FROM documents WHERE regexp_matches(text, '{ASCII}')"
+_W = r"\p{L}\p{N}_"
+_SPACES = r"\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
-@query(_tokens_sql(r"(?i)\b[a-z_]{2,16}\b", _PLAIN))
-def tokenize_bounded(s, d):
-    return _token_counts(documents(s, d).filter(F.col("text").rlike(ASCII)), K.WORDS_DEPLOYED)
+def _bound_sql(most: str) -> str:
+    """DuckDB's patterns look neither back nor ahead: whole words first, then those wholly of plain letters."""
+    plain = rf"^[A-Za-z_\x{{130}}\x{{131}}\x{{17f}}\x{{212a}}]{{2,{most}}}$"
+    return f"SELECT token, n FROM ({_tokens_sql(f'[{_W}]+', _WRITTEN)}) WHERE regexp_matches(token, '{plain}')"
 
 
-@query()
-def tokenize_bounded_all(s, d):
+@query(_bound_sql("16"))
+def tokenize_bounded(s, d):
     return _token_counts(written(s, d), K.WORDS_DEPLOYED)
 
 
-@query(_tokens_sql(r"(?i)\b[a-z_]{2,}\b", _PLAIN))
+@query(_bound_sql(""))
 def tokenize_words(s, d):
-    return _token_counts(documents(s, d).filter(F.col("text").rlike(ASCII)), K.WORDS_BOUND)
-
-
-@query()
-def tokenize_words_all(s, d):
     return _token_counts(written(s, d), K.WORDS_BOUND)
 
 
-@query(_tokens_sql(r"\b\w\w+\b", _PLAIN))
+@query(_tokens_sql(f"[{_W}]{{2,}}", _WRITTEN))
 def tokenize_unicode(s, d):
-    return _token_counts(documents(s, d).filter(F.col("text").rlike(ASCII)), K.WORDS_UNICODE)
-
-
-@query()
-def tokenize_unicode_all(s, d):
     return _token_counts(written(s, d), K.WORDS_UNICODE)
 
 
@@ -310,13 +300,8 @@ def tokenize_space(s, d):
     return _token_counts(written(s, d), K.SPACE)
 
 
-@query(_tokens_sql(r"\w+|[^\w\s]+", _PLAIN))
+@query(_tokens_sql(f"[{_W}]+|[^{_W}{_SPACES}]+", _WRITTEN))
 def tokenize_wordpunct(s, d):
-    return _token_counts(documents(s, d).filter(F.col("text").rlike(ASCII)), K.WORD_PUNCT)
-
-
-@query()
-def tokenize_wordpunct_all(s, d):
     return _token_counts(written(s, d), K.WORD_PUNCT)
 
 
@@ -498,12 +483,18 @@ def left_join_counts(s, d):
     return amazon(s, d).select("row_id", "main_cat").join(walmart(s, d).groupBy("main_cat").agg(F.count("*").alias("n")), "main_cat", "left").select("row_id", "n")
 
 
-_PROFILE = "(VALUES " + ", ".join(f"('{w}', '{lang}')" for lang, words in PROFILES.items() for w in sorted(set(words))) + ") p(t, lang)"
-
-
 def _detect_sql(source: str, key: str, text: str) -> str:
-    return rf"""(SELECT {key}, lang, hits FROM (SELECT {key}, p.lang, count(*) AS hits FROM (SELECT {key}, unnest(string_split_regex(lower({text}), '[^\p{{L}}]+')) AS t FROM {source}) w JOIN {_PROFILE} USING (t)
-        GROUP BY {key}, p.lang) QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY hits DESC, lang) = 1)"""
+    """Brute force: every word of every text against every list."""
+    lists = ", ".join(f"{{'hits': len(list_filter(w, lambda t: list_contains([{', '.join(repr(x) for x in sorted(set(PROFILES[lang])))}], t))), 'o': {-i}, 'lang': '{lang}'}}" for i, lang in enumerate(sorted(PROFILES)))
+    count = lambda *scripts: f"len(regexp_extract_all(x, '[{''.join(rf'\p{{{s}}}' for s in scripts)}]'))"
+    ja, zh = count(*SCRIPTS["ja"]), count(*SCRIPTS["zh"])
+    n = {lang: count(*scripts) for lang, scripts in SCRIPTS.items()}
+    n["ja"], n["zh"] = f"CASE WHEN {ja} * 10 >= {zh} THEN {ja} + {zh} ELSE 0 END", f"CASE WHEN {ja} * 10 >= {zh} THEN 0 ELSE {zh} END"
+    scripts = ", ".join(f"{{'hits': {c}, 'o': {-i}, 'lang': '{lang}'}}" for i, (lang, c) in enumerate(n.items()))
+    return rf"""(SELECT {key}, CASE WHEN t.hits > 0 THEN t.lang ELSE '{UNKNOWN}' END AS lang, t.hits::BIGINT AS hits FROM (
+        SELECT {key}, CASE WHEN s.hits > 0 AND s.hits >= {count('Latin')} THEN s ELSE w END AS t FROM (
+        SELECT {key}, x, list_max([{scripts}]) AS s, list_max([{lists}]) AS w FROM (
+        SELECT {key}, coalesce({text}, '') AS x, string_split_regex(lower(coalesce({text}, '')), '[^\p{{L}}]+') AS w FROM {source}))))"""
 
 
 @query(f"SELECT * FROM {_detect_sql('documents', 'doc_id', 'text')}")
