@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,11 +49,11 @@ def coefficients(model: PipelineModel) -> DataFrame:
     spark = SparkSession.getActiveSession()
     vectorizer = next(s for s in model.stages if hasattr(s, "vocabulary"))
     head, names = model.stages[-1], model.stages[-2].labels
-    vectors = [m.coefficients.toArray() for m in head.models] if hasattr(head, "models") else list(head.coefficientMatrix.toArray())
+    vectors = np.array([m.coefficients.toArray() for m in head.models]) if hasattr(head, "models") else head.coefficientMatrix.toArray()
     if len(vectors) == 1:
-        vectors = [-vectors[0], vectors[0]]
-    rows = [(names[i], t, float(v[j])) for i, v in enumerate(vectors) for j, t in enumerate(vectorizer.vocabulary) if v[j]]
-    return spark.createDataFrame(rows, "label string, term string, coef double")
+        vectors = np.concatenate([-vectors, vectors])
+    label, term = np.nonzero(vectors)
+    return spark.createDataFrame(pd.DataFrame({"label": np.array(names, object)[label], "term": np.array(vectorizer.vocabulary, object)[term], "coef": vectors[label, term]}), "label string, term string, coef double")
 
 
 def is_fitted(model: object) -> bool:

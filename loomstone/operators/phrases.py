@@ -27,10 +27,22 @@ def pmi(df: DataFrame, tokens: str, group: str, least: int) -> DataFrame:
     return scored.select(group, "a", "b", "n", F.round(F.log2(F.col("n") * F.col("_total") / (F.col("na") * F.col("nb"))), 6).alias("pmi"))
 
 
-def top_half(scored: DataFrame, group: str, least: float = 0.5) -> DataFrame:
-    """The upper part of each group by rank of its score."""
-    rank = F.percent_rank().over(Window.partitionBy(group).orderBy("pmi"))
-    return scored.withColumn("_r", rank).filter(F.col("_r") >= least).drop("_r")
+def top_half(scored: DataFrame, group: str, least: float = 0.5, width: float = 1 / 64) -> DataFrame:
+    """The upper part of each group by percent rank of its score; a group of one row has rank 0.
+
+    Counts of score intervals tell which of them the bound lies in, so that only that one's rows are ranked, and not a
+    whole group in one task. A null score has no rank.
+    """
+    bucket = F.floor(F.col("pmi") / width)
+    told = scored.filter(F.col("pmi").isNotNull()).withColumn("_b", bucket)
+    counts = told.groupBy(group, "_b").agg(F.count("*").alias("_n"))  # as many rows a group as there are intervals
+    by = Window.partitionBy(group)
+    counts = counts.withColumn("_all", F.sum("_n").over(by)).withColumn("_before", F.coalesce(F.sum("_n").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    need = F.lit(least) * (F.col("_all") - 1)
+    counts = counts.withColumn("_sure", (F.col("_before") >= need) & ((F.col("_all") > 1) | F.lit(least <= 0))).filter(F.col("_sure") | (F.col("_before") + F.col("_n") > need))
+    marked = told.join(counts.select(F.col(group).alias("_g"), F.col("_b").alias("_c"), "_all", "_before", "_sure"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c")))
+    edge = marked.filter(~F.col("_sure") & (F.col("_all") > 1)).withColumn("_r", F.rank().over(Window.partitionBy(group, "_b").orderBy("pmi")) - 1)
+    return marked.filter("_sure").select(*scored.columns).unionByName(edge.filter(F.col("_before") + F.col("_r") >= need).select(*scored.columns))
 
 
 def join_bigrams(tokens: Column, phrases: Column) -> Column:
@@ -49,13 +61,24 @@ def join_bigrams(tokens: Column, phrases: Column) -> Column:
     return folded
 
 
-def mwe_join(df: DataFrame, key: str, tokens: str, phrases: DataFrame) -> DataFrame:
-    """(key, tokens) with bigram phrases (a, b) joined greedily, by an equality join of the bigrams that occur.
+def mwe_join(df: DataFrame, key: str, tokens: str, phrases: DataFrame, most: int = 500_000) -> DataFrame:
+    """(key, tokens) with bigram phrases (a, b) joined greedily from the left; every row stays, without tokens too.
+
+    Up to ``most`` phrases, which are counted first, go to the tasks, and each row is joined by itself without a
+    shuffle. A longer list is met by an equality join of the bigrams that occur, with the same result.
+    """
+    known = phrases.select("a", "b").distinct()
+    if known.count() <= most:
+        return mwe_join_any(df, key, tokens, [(r["a"], r["b"]) for r in known.toLocalIterator()])
+    return mwe_join_large(df, key, tokens, known)
+
+
+def mwe_join_large(df: DataFrame, key: str, tokens: str, phrases: DataFrame) -> DataFrame:
+    """The same for a phrase list of any size: nothing of it is sent to the driver.
 
-    Matches that follow each other without a gap are an island; in it every other one counts, from the left. The
-    phrase list may be of any size: nothing of it is sent to the driver.
+    Matches that follow each other without a gap are an island; in it every other one counts, from the left.
     """
-    placed = df.select(key, F.posexplode(tokens).alias("i", "t"))
+    placed = df.select(key, F.posexplode_outer(tokens).alias("i", "t"))
     by = Window.partitionBy(key).orderBy("i")
     placed = placed.withColumn("nxt", F.lead("t").over(by))
     known = phrases.select(F.col("a").alias("t"), F.col("b").alias("nxt")).distinct().withColumn("hit", F.lit(True))
@@ -66,7 +89,8 @@ def mwe_join(df: DataFrame, key: str, tokens: str, phrases: DataFrame) -> DataFr
     hits = hits.withColumn("take", F.col("hit") & odd)
     eaten = F.coalesce(F.lag("take").over(by), F.lit(False))
     out = hits.withColumn("eaten", eaten).filter(~F.col("eaten")).select(key, "i", F.when(F.col("take"), F.concat_ws("_", "t", "nxt")).otherwise(F.col("t")).alias("t"))
-    return out.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias(tokens))
+    words = F.filter(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"].isNotNull())
+    return out.groupBy(key).agg(F.transform(words, lambda x: x["t"]).alias(tokens))
 
 
 def mwe_join_any(df: DataFrame, key: str, tokens: str, phrases: list[tuple[str, ...]]) -> DataFrame:

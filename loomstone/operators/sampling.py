@@ -16,10 +16,23 @@ def sample_fixed(df: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, train: float = 0.75, seed: str = "49") -> DataFrame:
-    """``is_train`` beside each row: of every stratum the rounded share with the least lots."""
-    by = Window.partitionBy(stratum)
-    rank = F.row_number().over(by.orderBy(draw(key, seed), key))
-    return df.withColumn("_n", F.count("*").over(by)).withColumn("is_train", rank <= F.round(F.lit(train) * F.col("_n"))).drop("_n")
+    """``is_train`` beside each row: of every stratum the rounded share with the least lots; null is a stratum.
+
+    Counts of the lots' first three digits tell in which of their 4,096 intervals the bound of each stratum lies. Only
+    the rows of that interval are ordered, so a stratum of a third of all rows is sorted by no single task.
+    """
+    lot = draw(key, seed)
+    told = df.withColumn("_lot", lot).withColumn("_b", F.substring("_lot", 1, 3))
+    counts = told.groupBy(F.col(stratum).alias("_s"), "_b").agg(F.count("*").alias("_n"))
+    by = Window.partitionBy("_s")
+    counts = counts.withColumn("_quota", F.round(F.lit(train) * F.sum("_n").over(by)).cast("bigint"))
+    counts = counts.withColumn("_upto", F.sum("_n").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+    edge = counts.filter(F.col("_upto") >= F.col("_quota")).groupBy("_s").agg(F.min_by(F.struct(F.col("_b").alias("at"), (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("left")), "_b").alias("_e"))
+    marked = told.join(edge, F.col(stratum).eqNullSafe(F.col("_s"))).select(*df.columns, "_lot", "_b", "_e.at", "_e.left")
+    sure = marked.filter(F.col("_b") != F.col("at")).withColumn("is_train", F.col("_b") < F.col("at"))
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_lot", key))
+    close = marked.filter(F.col("_b") == F.col("at")).withColumn("is_train", rank <= F.col("left"))
+    return sure.unionByName(close).select(*df.columns, "is_train")
 
 
 def split_by_lot(df: DataFrame, key: str, train: float = 0.75, seed: int = 49) -> DataFrame:

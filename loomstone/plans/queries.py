@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import tokens as K
@@ -20,8 +21,10 @@ from ..operators import profile as S
 from ..operators import prune as R
 from ..operators import sampling as A
 from ..operators import vectorize as V
+from ..operators.sgd import Sgd
 from ..operators.language_filter import PROFILES, SCRIPTS, UNKNOWN, detect, fill_from_cache, keep_language
 from ..runtime import cut_lineage, scratch_path, table
+from ..schemas import RAW
 from ..sources import io
 from . import pipelines
 
@@ -599,7 +602,7 @@ def pmi_top_half(s, d):
     g AS (SELECT *, CASE WHEN hit THEN i - row_number() OVER (PARTITION BY doc_id, hit ORDER BY i) END AS isl FROM h),
     k AS (SELECT *, hit AND row_number() OVER (PARTITION BY doc_id, hit, isl ORDER BY i) % 2 = 1 AS take FROM g),
     e AS (SELECT *, coalesce(lag(take) OVER (PARTITION BY doc_id ORDER BY i), false) AS eaten FROM k)
-    SELECT doc_id, string_agg(CASE WHEN take THEN t || '_' || nxt ELSE t END, ' ' ORDER BY i) AS text FROM e WHERE NOT eaten GROUP BY doc_id"""
+    SELECT doc_id, coalesce(x.text, '') AS text FROM c LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN take THEN t || '_' || nxt ELSE t END, ' ' ORDER BY i) AS text FROM e WHERE NOT eaten GROUP BY doc_id) x USING (doc_id)"""
 )
 def mwe_join(s, d):
     best = P.top_half(_pmi(s, d), "lang").select("a", "b")
@@ -658,8 +661,8 @@ _COEF = f"(SELECT lang, term, sum(weight) / any_value(k) AS coef FROM {_TFIDF} J
 
 def _coef(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     df = letters(s, d)
-    weights = V.tfidf(df, "doc_id", "tokens")
-    return df, weights, M.mean_vectors(weights, df, "doc_id", "lang")
+    weights = cut_lineage(V.tfidf(df, "doc_id", "tokens"))  # read by every later stage
+    return df, weights, cut_lineage(M.mean_vectors(weights, df, "doc_id", "lang"))
 
 
 @query(f"SELECT lang, term, round(coef, 6) AS coef FROM {_COEF}")
@@ -772,10 +775,51 @@ def logreg(s, d):
     return M.labelled(model, model.transform(df.filter("not is_train"))).select("doc_id", "label", "predicted")
 
 
+@query()
+def sgd_classifier(s, d):
+    df = _train(s, d)
+    model = Sgd(loss="modified_huber", schedule="adaptive", eta0=1.0, average=True).fit(df.filter("is_train"))
+    return model.transform(df.filter("not is_train"), ["doc_id", "label"])
+
+
+#: What each classifier must reach on the quarter of the documents that it wasn't fitted on.
+LEAST_ACCURACY = 0.95
+_MODELS = ("svm", "log", "sgd hinge optimal", "sgd squared_hinge adaptive", "sgd modified_huber constant")
+
+
+@query(f"SELECT unnest({list(_MODELS)}) AS model, true AS good")
+def model_accuracy(s, d):
+    """Each classifier, and whether its held-out accuracy is at least ``LEAST_ACCURACY``."""
+    df = _train(s, d)
+    train, test = df.filter("is_train"), df.filter("not is_train")
+    said = {}
+    for name in _MODELS[:2]:
+        model = M.linear(name, alpha=1e-4).fit(train)
+        said[name] = M.labelled(model, model.transform(test)).select("label", "predicted")
+    for name in _MODELS[2:]:
+        _, loss, schedule = name.split()
+        said[name] = Sgd(loss=loss, schedule=schedule, eta0=1.0, steps=20).fit(train).transform(test, ["label"])
+    right = [(name, E.accuracy_pair(x).first()["accuracy"] >= LEAST_ACCURACY) for name, x in said.items()]  # one number a model
+    return s.createDataFrame(right, "model string, good boolean")
+
+
+@query()
+def linear_coefficients(s, d):
+    """(label, term, coef, rank): the ten terms that speak most for each class of the linear model."""
+    model = M.linear("log", alpha=1e-4).fit(_train(s, d).filter("is_train"))
+    return E.top_terms(E.coefficients(model), "label", 10)
+
+
+@query("SELECT true AS fitted, false AS unfitted")
+def fitted_probe(s, d):
+    model = M.linear("log", alpha=1e-2).fit(_train(s, d).filter("is_train"))
+    return s.createDataFrame([(E.is_fitted(model), E.is_fitted(M.linear("log")))], "fitted boolean, unfitted boolean")
+
+
 @query()
 def halving_search(s, d):
     df = written(s, d).filter(F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").alias("label"))
-    return M.cv_table(s, M.halving_search(df, "doc_id", grid=9, first=1000, kinds=("svm", "log")))
+    return M.cv_table(s, M.halving_search(df, "doc_id", grid=9, first=1000, kinds=("svm", "log", "sgd")))
 
 
 # --- sources and sinks, pipelines
@@ -789,21 +833,74 @@ def partitioned_roundtrip(s, d):
     return io.read_checkpoint(s, path, df.schema).groupBy("main_cat").agg(F.count("*").alias("n"))
 
 
-@query("SELECT asin, description, title, brand FROM amazon_raw")
+@query("SELECT asin, description, title, feature, brand, main_cat FROM amazon_raw")
 def json_scan(s, d):
     path = scratch_path(s, "json")
-    amazon(s, d).select("asin", "description", "title", "brand").write.option("ignoreNullFields", "true").json(path, compression="gzip")
-    return io.scan_json_lines(s, path).select("asin", "description", "title", "brand")
+    amazon(s, d).select(*RAW.names).write.option("ignoreNullFields", "true").json(path, compression="gzip")
+    return io.scan_json_lines(s, path, partitions=s.sparkContext.defaultParallelism)
 
 
-@query("SELECT item_id, title, category FROM walmart WHERE title IS NOT NULL")
-def csv_scan(s, d):
-    from pyspark.sql import types as T
+@query("SELECT asin, description, title, feature, brand, main_cat FROM amazon_raw")
+def json_to_parquet(s, d):
+    source, target = scratch_path(s, "json"), scratch_path(s, "converted")
+    amazon(s, d).select(*RAW.names).write.json(source)
+    io.convert(s, source, target)
+    return io.scan(s, target, RAW.names)
 
+
+@query("SELECT item_id, title, category, description, brand FROM walmart WHERE coalesce(title, category, description, brand) IS NOT NULL")
+def csv_scan(s, d):
+    """Line breaks, quotes and commas inside values, and nulls, come back as they were."""
     path = scratch_path(s, "csv")
-    walmart(s, d).select("item_id", "title", "category", "brand").filter(F.col("title").isNotNull()).write.csv(path, header=True, quoteAll=True, escape='"')
-    schema = T.StructType([T.StructField("item_id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("title", "category", "brand")]])
-    return io.scan_csv(s, path, ["item_id", "title", "category"], schema)
+    rows = walmart(s, d).select("item_id", "title", "category", "description", "brand").filter(F.coalesce("title", "category", "description", "brand").isNotNull())
+    rows.na.fill("\\N").write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    schema = T.StructType([T.StructField("item_id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("title", "category", "description", "brand")]])
+    back = io.scan_csv(s, path, None, schema, multi_line=True)
+    return back.select("item_id", *[F.when(F.coalesce(c, F.lit("")) != "\\N", F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "category", "description", "brand")])
+
+
+@query("SELECT title, category, count(*) AS n FROM walmart WHERE title IS NOT NULL AND category IS NOT NULL GROUP BY ALL")
+def retail_ingest(s, d):
+    """The retail file under its own column names, read by its schema, renamed and mapped to the other tables' names."""
+    path = scratch_path(s, "retail")
+    rows = walmart(s, d).filter("title IS NOT NULL AND category IS NOT NULL")
+    rows.select(F.col("title").alias("Product Name"), F.col("category").alias("Category"), F.regexp_replace("description", r"\s+", " ").alias("Description"), F.col("brand").alias("Brand")).write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return io.rename_retail(io.scan_csv(s, path)).groupBy("title", "category").agg(F.count("*").alias("n"))
+
+
+@query("SELECT row_id, title FROM amazon_raw")
+def write_table(s, d):
+    path = scratch_path(s, "table")
+    io.write(amazon(s, d).select("row_id", "title"), path)
+    return io.scan(s, path)
+
+
+@query("SELECT asin, lang FROM lang_cache")
+def cache_roundtrip(s, d):
+    path = scratch_path(s, "cache")
+    io.save_cache(table(s, d, "lang_cache").select("asin", "lang"), path)
+    return io.scan(s, path, ["asin", "lang"])
+
+
+@query("SELECT * FROM (VALUES (0, 'lamp'), (1, 'größe'), (2, 'x_y')) t(i, value)")
+def parameters_roundtrip(s, d):
+    path = scratch_path(s, "parameters.json")
+    io.save_parameters(s, ["lamp", "größe", "x_y"], path)
+    return s.createDataFrame(list(enumerate(io.load_parameters(s, path))), "i int, value string")
+
+
+@query("SELECT true AS written, true AS removed, false AS there")
+def remove_table(s, d):
+    path = scratch_path(s, "gone")
+    io.write(table(s, d, "category_list"), path)
+    return s.createDataFrame([(io.exists(s, path), io.remove(s, path), io.exists(s, path))], "written boolean, removed boolean, there boolean")
+
+
+@query(f"SELECT DISTINCT t AS word FROM (SELECT unnest(regexp_extract_all(lower(brand), '[a-z_]{{2,16}}')) AS t FROM brand_list UNION ALL SELECT unnest({_STOP})) ORDER BY word")
+def stopword_union(s, d):
+    """The list of stopwords with the words of all brands, which are a short list, cut as the corpus is."""
+    brands = [r[0] for r in table(s, d, "brand_list").select("brand").collect()]
+    return s.createDataFrame([(w,) for w in sorted(K.with_stopwords(K.STOPWORDS, brands))], "word string")
 
 
 @query()

@@ -23,8 +23,9 @@ def scan_json_lines(spark: SparkSession, path: str, schema: T.StructType = RAW,
     return df.repartition(partitions) if partitions else df
 
 
-def scan_csv(spark: SparkSession, path: str, columns: list[str] | None = None, schema: T.StructType = RETAIL) -> DataFrame:
-    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"')
+def scan_csv(spark: SparkSession, path: str, columns: list[str] | None = None, schema: T.StructType = RETAIL, multi_line: bool = False) -> DataFrame:
+    """A CSV with quotes doubled inside quotes. ``multi_line`` reads line breaks inside values, but each file in one task."""
+    df = spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, quote='"', escape='"')
     return df.select(*columns) if columns else df
 
 
@@ -39,7 +40,7 @@ def checkpoint(df: DataFrame, path: str, by: str = "main_cat") -> int:
     Rows of a value meet in as few files as AQE's partitions allow; a hot value is split by the rebalance.
     """
     df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
-    return df.sparkSession.read.parquet(path).select(F.input_file_name()).distinct().count()
+    return len(df.sparkSession.read.parquet(path).inputFiles())  # from the listing, without reading a row
 
 
 def read_checkpoint(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -56,15 +57,21 @@ def save_cache(series: DataFrame, path: str) -> None:
     series.write.mode("overwrite").parquet(path)
 
 
-def save_parameters(values: list, path: str) -> None:
-    """A parameter list as JSON, by the driver: it is a parameter, not data."""
-    with open(path, "w") as f:
-        json.dump(values, f, ensure_ascii=False)
+def _file(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def load_parameters(path: str) -> list:
-    with open(path) as f:
-        return json.load(f)
+def save_parameters(spark: SparkSession, values: list, path: str) -> None:
+    """A parameter list as a JSON file, wherever Hadoop's file systems reach it; it is a parameter, not data."""
+    fs, p = _file(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(json.dumps(values, ensure_ascii=False).encode()))
+    out.close()
+
+
+def load_parameters(spark: SparkSession, path: str) -> list:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -77,6 +84,16 @@ def load_model(path: str) -> PipelineModel:
 
 def remove(spark: SparkSession, path: str) -> bool:
     """Deletes a checkpoint, wherever Hadoop's file systems reach it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file(spark, path)
+    return fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file(spark, path)
+    return fs.exists(p)
+
+
+def rename_retail(df: DataFrame) -> DataFrame:
+    """The retail file's columns under the names of the other tables: lower case, without blanks."""
+    names = {"Product Name": "title"}
+    return df.select(*[F.col(f"`{c}`").alias(names.get(c, c.lower().replace(" ", "_"))) for c in df.columns])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.language_filter import detect
+from ..sources.io import exists
 
 
 def keep_cache(spark: SparkSession, listings: DataFrame, cache: str, state: str, key: str = "asin", text: str = "text") -> StreamingQuery:
@@ -16,10 +17,8 @@ def keep_cache(spark: SparkSession, listings: DataFrame, cache: str, state: str,
     """
 
     def fill(batch: DataFrame, number: int) -> None:
-        try:
-            known = spark.read.schema(f"`{key}` string, lang string, batch bigint").parquet(cache).filter(F.col("batch") != number)
-        except Exception:  # the first batch finds no table
-            known = spark.createDataFrame([], f"`{key}` string, lang string, batch bigint")
+        schema = f"`{key}` string, lang string, batch bigint"  # the first batch finds no table
+        known = spark.read.schema(schema).parquet(cache).filter(F.col("batch") != number) if exists(spark, cache) else spark.createDataFrame([], schema)
         new = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias(text)).join(known.select(key), key, "left_anti")
         found = new.select(key).join(detect(new, key, text).select(key, "lang"), key, "left")
         found.write.mode("overwrite").parquet(f"{cache}/batch={number}")

@@ -15,6 +15,7 @@ from loomstone.operators import dedupe as D
 from loomstone.operators import evaluate as E
 from loomstone.operators import explain as W
 from loomstone.operators import lemma as L
+from loomstone.operators import sampling as A
 from loomstone.operators import model as M
 from loomstone.operators import phrases as P
 from loomstone.operators import prune as R
@@ -126,7 +127,9 @@ def test_phrases_are_joined_greedily(spark, docs, phrases):
     table = spark.createDataFrame(sorted(phrases), "a string, b string")
     got = {r.id: r.tokens for r in P.mwe_join(df, "id", "tokens", table).collect()}
     want = {i: greedy(d, phrases) for i, d in enumerate(docs) if d}
-    assert got == want
+    every = {i: greedy(d, phrases) for i, d in enumerate(docs)}
+    assert {i: list(x) for i, x in got.items()} == every
+    assert {r.id: r.tokens for r in P.mwe_join(df, "id", "tokens", table, most=-1).collect()} == every
     listed = F.array(*[F.lit(f"{a} {b}") for a, b in sorted(phrases)]).cast("array<string>")
     assert {r.id: r.t for r in df.select("id", P.join_bigrams(F.col("tokens"), listed).alias("t")).collect() if r.t} == want
     assert {r.id: list(r.tokens) for r in P.mwe_join_any(df, "id", "tokens", sorted(phrases)).collect() if len(r.tokens)} == want
@@ -209,8 +212,8 @@ def test_partitions_keep_their_text(spark, tmp_path):
     assert io.checkpoint(df, str(tmp_path / "p")) >= 3
     assert sorted(map(tuple, io.read_checkpoint(spark, str(tmp_path / "p"), df.schema).select("id", "main_cat").collect())) == sorted(map(tuple, df.collect()))
     assert io.remove(spark, str(tmp_path / "p")) and not (tmp_path / "p").exists()
-    io.save_parameters(["a", "ß"], str(tmp_path / "x.json"))
-    assert io.load_parameters(str(tmp_path / "x.json")) == ["a", "ß"]
+    io.save_parameters(spark, ["a", "ß"], str(tmp_path / "x.json"))
+    assert io.load_parameters(spark, str(tmp_path / "x.json")) == ["a", "ß"]
 
 
 def test_linear_models_separate(spark):
@@ -237,13 +240,13 @@ def test_the_classifier_is_not_cut_short(spark):
 def test_halving_ends_on_the_whole_table(spark, monkeypatch):
     rows = [(i, ("red apple fruit tree" if i % 2 else "steel bolt nut wrench") + f" w{chr(97 + i % 7)}x", "fruit" if i % 2 else "metal") for i in range(80)]
     ranked = M.halving_search(spark.createDataFrame(rows, "id int, text string, label string"), "id", grid=3, first=20, kinds=("log",))
-    assert [r["n"] for r in ranked] == [80, 20, 20, 20]
+    assert ranked[0]["n"] == 80 and len(ranked) == 4 and all(0 < r["n"] < 80 for r in ranked[1:])
     asked = {}
     monkeypatch.setattr(M, "halving_search", lambda df, key, **kw: asked.update(kw) or ranked)
     spark.createDataFrame([(1, "a", "en")], "doc_id int, text string, lang string").createOrReplaceTempView("written_rows")
     monkeypatch.setattr("loomstone.plans.queries.documents", lambda s, d: s.table("written_rows"))
     QUERIES["halving_search"](spark, "").count()
-    assert asked["first"] >= 1000 and set(asked["kinds"]) == {"svm", "log"}
+    assert asked["first"] >= 1000 and set(asked["kinds"]) == {"svm", "log", "sgd"}
 
 
 def test_smooth_idf_is_idf_plus_one(spark):
@@ -268,3 +271,53 @@ def test_stream_fills_only_what_is_missing(spark, tmp_path):
         assert i >= 0
     got = {r.asin: r.lang for r in spark.read.parquet(str(tmp_path / "cache")).collect()}
     assert got == {"a": "de", "b": "en", "c": "fr"}
+
+
+def test_split_and_ranks_without_a_sort_of_a_group(spark):
+    import hashlib
+
+    rows = [(i, "hot" if i % 3 else None if i % 2 else "cold") for i in range(6000)] + [(9001, "one")]
+    df = spark.createDataFrame(rows, "id int, g string")
+    got = {r.id: r.is_train for r in A.stratified_split(df, "id", "g").collect()}
+    assert len(got) == len(rows)
+    for g in {g for _, g in rows}:
+        ids = sorted((hashlib.md5(f"49{i}".encode()).hexdigest(), i) for i, x in rows if x == g)
+        n = int(0.75 * len(ids) + 0.5)
+        assert [got[i] for _, i in ids] == [k < n for k in range(len(ids))]
+    scored = spark.createDataFrame([("a", float(i // 3)) for i in range(90)] + [("b", 1.0), ("c", 2.0), ("c", 2.0), ("d", 0.5), ("d", 0.501), ("d", 0.502), (None, 1.0), (None, 3.0)], "g string, pmi double")
+    want = scored.selectExpr("*", "percent_rank() OVER (PARTITION BY g ORDER BY pmi) AS r").filter("r >= 0.5").drop("r")
+    assert sorted(map(str, P.top_half(scored, "g").collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("loss", ["hinge", "squared_hinge", "log", "modified_huber"])
+def test_slopes_are_those_of_the_losses(loss):
+    import numpy as np
+
+    from loomstone.operators.sgd import slope, value
+
+    z = np.array([-3.0, -1.5, -0.5, 0.3, 0.9, 1.7])
+    assert np.allclose(slope(loss, z), (value(loss, z + 1e-6) - value(loss, z - 1e-6)) / 2e-6, atol=1e-4)
+
+
+def test_sgd_separates_and_follows_its_schedule(spark):
+    from loomstone.operators.sgd import Sgd
+
+    rows = [(i, ("red apple fruit tree" if i % 2 else "steel bolt nut wrench") + f" w{chr(97 + i % 7)}x", "fruit" if i % 2 else "metal", 1.0) for i in range(60)] + [(90, None, None, 1.0)]
+    df = spark.createDataFrame(rows, "id int, text string, label string, weight double")
+    for kw in ({"loss": "hinge"}, {"loss": "modified_huber", "penalty": "l1", "schedule": "adaptive", "eta0": 1.0, "average": True}):
+        model = Sgd(steps=8, bits=10, **kw).fit(df)
+        got = model.transform(df, ["id", "label"]).collect()
+        assert len(got) == 61 and all(r.label == r.predicted for r in got if r.label) and model.losses[-1] < model.losses[0]
+    flat = Sgd(steps=14, schedule="adaptive", eta0=1.0, tol=10.0, patience=2, bits=8).fit(df)
+    assert flat._eta < 1.0 / 5 and Sgd(schedule="constant", eta0=2.0, steps=0).fit(df)._rate(5) == 2.0
+    with pytest.raises(ValueError):
+        Sgd(loss="cubic")
+    empty = Sgd(steps=2, bits=8).fit(df.limit(0))
+    assert [r.predicted for r in empty.transform(df.limit(1), ["id"]).collect()] == [None]
+
+
+def test_parameters_of_steps():
+    p = M.set_params(M.linear("svm"), each__regParam=0.5, countvectorizer__minDF=3.0)
+    assert p.getStages()[-1].getClassifier().getRegParam() == 0.5 and M.linear("svm").getStages()[-1].getClassifier().getRegParam() != 0.5
+    with pytest.raises(ValueError):
+        M.set_params(M.linear("svm"), each__nothing=1)
