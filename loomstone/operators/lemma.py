@@ -1,46 +1,145 @@
-"""Lemmas from a dictionary, with suffix rules for what it doesn't hold."""
+"""Lemmas by detachment rules that a vocabulary must confirm, told apart by part of speech, and by dictionaries.
+
+A form comes to a base only if the base is itself a word of the vocabulary, so that ``string`` isn't the participle of
+``str`` nor ``series`` a plural. Whether a form is read as a verb or as a noun is told by the word before it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Irregular English forms.
-IRREGULAR = {"is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "am": "be", "has": "have", "had": "have", "does": "do", "did": "do", "done": "do", "went": "go", "gone": "go", "made": "make", "men": "man", "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth", "mice": "mouse", "geese": "goose", "better": "good", "best": "good", "worse": "bad", "worst": "bad", "knives": "knife", "leaves": "leaf", "shelves": "shelf", "wives": "wife", "lives": "life", "bought": "buy", "kept": "keep", "held": "hold", "left": "leave", "sold": "sell", "told": "tell", "came": "come", "gave": "give", "took": "take", "taken": "take", "wrote": "write", "written": "write"}
+#: Irregular English verbs, by base: past and participle.
+VERBS = {
+    "be": "is are was were been am being", "have": "has had having", "do": "does did done doing", "go": "goes went gone", "make": "made", "buy": "bought", "keep": "kept", "hold": "held", "leave": "left", "sell": "sold", "tell": "told", "come": "came", "give": "gave given",
+    "take": "took taken", "write": "wrote written", "see": "saw seen", "know": "knew known", "think": "thought", "get": "got gotten", "find": "found", "say": "said", "feel": "felt", "bring": "brought", "begin": "began begun", "run": "ran", "build": "built", "send": "sent", "spend": "spent",
+    "lose": "lost", "mean": "meant", "meet": "met", "pay": "paid", "sit": "sat", "stand": "stood", "speak": "spoke spoken", "break": "broke broken", "choose": "chose chosen", "wear": "wore worn", "tear": "tore torn", "drive": "drove driven", "ride": "rode ridden", "eat": "ate eaten", "fall": "fell fallen",
+    "grow": "grew grown", "show": "shown", "throw": "threw thrown", "draw": "drew drawn", "fly": "flew flown", "freeze": "froze frozen", "hide": "hid hidden", "teach": "taught", "catch": "caught", "fight": "fought", "sleep": "slept", "wind": "wound", "hang": "hung", "shake": "shook shaken", "swim": "swam swum",
+    "sing": "sang sung", "ring": "rang rung", "drink": "drank drunk", "rise": "rose risen", "lie": "lay lain lying", "lay": "laid", "lead": "led", "feed": "fed", "win": "won", "shine": "shone", "weave": "wove woven", "sew": "sewn", "bend": "bent", "lend": "lent", "shoot": "shot", "stick": "stuck", "die": "dying", "tie": "tying",
+}
+#: Irregular plurals, by base.
+NOUNS = {"man": "men", "woman": "women", "child": "children", "foot": "feet", "tooth": "teeth", "mouse": "mice", "goose": "geese", "knife": "knives", "leaf": "leaves", "shelf": "shelves", "wife": "wives", "life": "lives", "half": "halves", "wolf": "wolves", "loaf": "loaves", "scarf": "scarves", "person": "people", "ox": "oxen", "die": "dice", "index": "indices", "axis": "axes", "basis": "bases"}
+#: Comparatives that no rule leads back.
+ADJECTIVES = {"good": "better best", "bad": "worse worst", "far": "further furthest"}
+#: Words that look like a form and are none.
+WHOLE = frozenset("during ceiling string spring thing king ring wing sling swing morning evening nothing something anything everything wedding pudding bedding clothing lighting railing sibling darling sterling herring speed need feed seed weed breed bleed hundred sacred naked wicked kindred series species news lens gas bus plus glass glasses always perhaps its this his us as is was yes thus various famous previous serious across less unless process access address business press class cross dress grass mass pass toss canvas atlas iris tennis chess".split())
+#: Words before a verb, and words before a noun.
+BEFORE_VERB = frozenset("to will can could would should may might must not is are was were be been being i you we they who don doesn didn do does did".split())
+BEFORE_NOUN = frozenset("the a an this that these those my your his her its our their each every no some any of in for with by".split())
+IRREGULAR_VERBS = {form: base for base, forms in VERBS.items() for form in forms.split()}
+IRREGULAR = {form: base for table in (VERBS, NOUNS, ADJECTIVES) for base, forms in table.items() for form in forms.split()} | {"left": "leave", "lives": "life", "leaves": "leaf"}
+
+
+def noun_bases(word: str) -> list[str]:
+    """What a plural may be the plural of, the likeliest first."""
+    if len(word) < 4 or not word.endswith("s") or word.endswith(("ss", "us", "is")):
+        return []
+    out = [word[:-3] + "y"] if word.endswith("ies") and len(word) > 4 else []
+    if word.endswith(("sses", "shes", "ches", "xes", "zes", "oes")):
+        out.append(word[:-2])
+    return [*out, word[:-1]]
+
+
+def verb_bases(word: str) -> list[str]:
+    """What an inflected verb may come from, the likeliest first."""
+    for end in ("ing", "ed"):
+        stem = word[: -len(end)]
+        if word.endswith(end) and len(stem) > 1 and any(c in "aeiouy" for c in stem):
+            out = [stem[:-1] + "y"] if end == "ed" and stem.endswith("i") else []
+            if stem[-1] == stem[-2] and stem[-1] not in "aeiou":
+                out += [stem, stem[:-1]] if stem[-1] in "lsz" else [stem[:-1], stem]
+                return out
+            short = stem[-1] not in "aeiouwxy" and stem[-2] in "aeiou" and (len(stem) == 2 or stem[-3] not in "aeiou")
+            silent = stem.endswith(("at", "iz", "bl", "v", "c", "s", "u", "rg", "dg")) or short and len(stem) <= 4
+            return [*out, stem + "e", stem] if silent else [*out, stem, stem + "e"]
+    return noun_bases(word)
 
 
-def lemma(word: str) -> str:
-    if word in IRREGULAR:
+def lemma(word: str, known: set[str] | frozenset[str] | dict | None = None, pos: str | None = None) -> str:
+    """The base of a word; ``pos`` is ``n`` or ``v`` where the word before tells it.
+
+    With ``known`` words the base of a verb must be one of them; a plural without a known base loses its ending. Without
+    ``known`` it is the likeliest base.
+    """
+    if pos == "v" and word in IRREGULAR_VERBS:
+        return IRREGULAR_VERBS[word]
+    if word in IRREGULAR and not (pos == "n" and word in IRREGULAR_VERBS):
         return IRREGULAR[word]
-    if len(word) > 4 and word.endswith("ies"):
-        return word[:-3] + "y"
-    if len(word) > 4 and word.endswith(("sses", "shes", "ches", "xes", "zes")):
-        return word[:-2]
-    if len(word) > 3 and word.endswith("s") and not word.endswith(("ss", "us", "is")):
-        return word[:-1]
-    if len(word) > 5 and word.endswith("ing"):
-        stem = word[:-3]
-        return stem[:-1] if len(stem) > 3 and stem[-1] == stem[-2] and stem[-1] not in "lsz" else stem
-    if len(word) > 4 and word.endswith("ied"):
-        return word[:-3] + "y"
-    if len(word) > 4 and word.endswith("ed"):
-        stem = word[:-2]
-        return stem[:-1] if len(stem) > 3 and stem[-1] == stem[-2] and stem[-1] not in "lsz" else stem
-    return word
+    if word in WHOLE:
+        return word
+    bases = noun_bases(word) if pos == "n" else verb_bases(word)
+    for base in bases:
+        if known is None or base in known:
+            return base
+    return next(iter(noun_bases(word)), word)
+
+
+def part_of_speech(before: str | None) -> str | None:
+    return "v" if before in BEFORE_VERB else "n" if before in BEFORE_NOUN else None
+
+
+def _lemmas(row: list[str], known: frozenset[str] | dict | None, memo: dict) -> list[str]:
+    out, before = [], None
+    for t in row:
+        at = (t, part_of_speech(before))
+        if at not in memo:
+            memo[at] = lemma(t, known, at[1])
+        out.append(memo[at])
+        before = t
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def lemmatise(tokens: pd.Series) -> pd.Series:
-    """Each token's lemma, in order; null for null."""
-    known: dict[str, str] = {}
-    return tokens.map(lambda row: None if row is None else [known.setdefault(t, lemma(t)) for t in row])
+    """Each token's lemma by rules alone, in order; null for null."""
+    memo: dict = {}
+    return tokens.map(lambda row: None if row is None else _lemmas(list(row), None, memo))
+
+
+def vocabulary_words(df: DataFrame, tokens: str, least: int = 2) -> DataFrame:
+    """(form, n): words of ``least`` occurrences or more that have the letters of English and may confirm a base."""
+    return df.select(F.explode(tokens).alias("form")).filter(F.col("form").rlike("^[a-z]{2,}$")).groupBy("form").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def lemmatise_known(df: DataFrame, key: str, tokens: str, words: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(key, tokens): lemmas that the vocabulary ``words`` (form) confirms; null stays null.
+
+    Up to ``most`` words, which are counted first, go to the tasks. Of a longer list only those that are a base of some
+    form of it are met by a join of forms, which reads each word by its likeliest part of speech.
+    """
+    forms = words.select("form").distinct()
+    if forms.count() <= most:
+        known = df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in forms.toLocalIterator()))
+        kind = df.schema[key].dataType.simpleString()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            memo: dict = {}
+            for pdf in batches:
+                yield pd.DataFrame({key: pdf[key], tokens: pdf[tokens].map(lambda row: None if row is None else _lemmas(list(row), known.value, memo))})
+
+        return df.select(key, tokens).mapInPandas(run, f"`{key}` {kind}, `{tokens}` array<string>")
+    return lemmatise_by(df, key, tokens, dictionary(forms))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _bases(forms: pd.Series) -> pd.Series:
+    return forms.map(lambda w: [IRREGULAR[w]] if w in IRREGULAR else [] if w in WHOLE else verb_bases(w))
+
+
+def dictionary(forms: DataFrame) -> DataFrame:
+    """(form, lemma) of a vocabulary (form) of any size: each form with its first base that is a form as well."""
+    every = forms.select("form", F.posexplode(_bases("form")).alias("i", "lemma"))
+    return every.join(forms.select(F.col("form").alias("lemma")), "lemma", "left_semi").groupBy("form").agg(F.min_by("lemma", "i").alias("lemma"))
 
 
 def lemmatise_by(df: DataFrame, key: str, tokens: str, dictionary: DataFrame) -> DataFrame:
-    """(key, tokens) by a table (form, lemma) of any size, through an equality join; unknown forms stay."""
-    placed = df.select(key, F.posexplode(tokens).alias("i", "form"))
+    """(key, tokens) by a table (form, lemma) of any size, through an equality join; unknown forms and empty rows stay."""
+    placed = df.select(key, F.posexplode_outer(tokens).alias("i", "form"))
     found: Column = F.coalesce(F.col("lemma"), F.col("form"))
     out = placed.join(dictionary.select("form", "lemma"), "form", "left").select(key, "i", found.alias("t"))
-    return out.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias(tokens))
+    words = F.filter(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"].isNotNull())
+    return out.groupBy(key).agg(F.transform(words, lambda x: x["t"]).alias(tokens))

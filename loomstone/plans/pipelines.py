@@ -71,10 +71,13 @@ def vocabulary_stage(clean: DataFrame, cache: DataFrame, key: str = "asin", leas
     clean = cut_lineage(clean.withColumn("brand", B.brand_token(F.col("brand"))))
     clean = cut_lineage(R.brand_policy(clean, "main_cat", "brand"))
     lang = fill_from_cache(clean.select(key, "text"), cache, key, "text")
-    lemmas = tokenise(keep_language(clean, lang, key)).withColumn("tokens", L.lemmatise("tokens"))
-    df = cut_lineage(lemmas.withColumn("tokens", K.drop_stopwords("tokens")))
+    plain = cut_lineage(tokenise(keep_language(clean, lang, key)).select(key, "main_cat", "brand", "tokens"))
+    words = L.vocabulary_words(plain, "tokens")
+    lemmas = L.lemmatise_known(plain, key, "tokens", words)
+    df = cut_lineage(plain.drop("tokens").join(lemmas, key).withColumn("tokens", K.drop_stopwords("tokens")))
     best = P.top_half(P.pmi(df, "tokens", "main_cat", least), "main_cat").select(F.array("a", "b").alias("phrase"))
-    brands = P.brand_phrases(df, "brand", sorted(K.STOPWORDS), least_brand).select(L.lemmatise("phrase").alias("phrase"))
+    named = P.brand_phrases(df, "brand", sorted(K.STOPWORDS), least_brand).withColumn("name", F.array_join("phrase", "_"))
+    brands = L.lemmatise_known(named, "name", "phrase", words).select("phrase")
     phrases = [tuple(r["phrase"]) for r in best.unionByName(brands).distinct().collect()]
     return df.select(key, "main_cat").join(P.mwe_join_any(df, key, "tokens", phrases), key)
 

@@ -624,7 +624,8 @@ def brand_phrases(s, d):
 
 @query()
 def lemmatize(s, d):
-    return corpus(s, d).select("doc_id", F.array_join(L.lemmatise("tokens"), " ").alias("text"))
+    df = corpus(s, d)
+    return L.lemmatise_known(df, "doc_id", "tokens", L.vocabulary_words(df, "tokens")).select("doc_id", F.array_join("tokens", " ").alias("text"))
 
 
 # --- vectors, models and evaluation

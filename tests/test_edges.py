@@ -201,10 +201,24 @@ def test_report(spark):
 
 
 def test_lemma(spark):
-    assert [L.lemma(w) for w in ("children", "boxes", "running", "stopped", "batteries", "glass", "bus")] == ["child", "box", "run", "stop", "battery", "glass", "bus"]
+    words = "children boxes running stopped batteries glass bus making using string during speed ceiling hundred series placed changing hoped hopping lives agreed washes shelves".split()
+    bases = "child box run stop battery glass bus make use string during speed ceiling hundred series place change hope hop life agree wash shelf".split()
+    known = frozenset(bases)
+    assert [L.lemma(w, known) for w in words] == bases
+    assert (L.lemma("building", frozenset(["build", "building"]), "n"), L.lemma("building", frozenset(["build"]), "v")) == ("building", "build")
+    assert L.lemma("strings", frozenset()) == "string" and L.lemma("stringing", frozenset()) == "stringing" and L.lemma("left", None, "n") == "left"
     table = spark.createDataFrame([("mice", "mouse")], "form string, lemma string")
-    df = spark.createDataFrame([(1, ["two", "mice", "two"])], "id int, tokens array<string>")
-    assert L.lemmatise_by(df, "id", "tokens", table).first().tokens == ["two", "mouse", "two"]
+    df = spark.createDataFrame([(1, ["two", "mice", "two"]), (2, []), (3, None)], "id int, tokens array<string>")
+    assert {r.id: r.tokens for r in L.lemmatise_by(df, "id", "tokens", table).collect()} == {1: ["two", "mouse", "two"], 2: [], 3: []}
+
+
+def test_lemmas_that_the_corpus_confirms(spark):
+    df = spark.createDataFrame([(1, ["the", "building", "is", "building", "walls"]), (2, ["build", "wall", "str", "string"]), (3, None), (4, [])], "id int, tokens array<string>")
+    words = L.vocabulary_words(df, "tokens", 1)
+    got = {r.id: r.tokens for r in L.lemmatise_known(df, "id", "tokens", words).collect()}
+    assert got == {1: ["the", "building", "be", "build", "wall"], 2: ["build", "wall", "str", "string"], 3: None, 4: []}
+    joined = {r.id: r.tokens for r in L.lemmatise_known(df, "id", "tokens", words, most=-1).collect()}
+    assert joined[1] == ["the", "build", "is", "build", "wall"] and joined[2] == got[2]
 
 
 def test_partitions_keep_their_text(spark, tmp_path):
