@@ -14,6 +14,7 @@ from .layout_copies import collapse_copies, copy_pairs, copy_representatives
 from .lookalike import found_fields, normalise_lookalikes
 from .markup import clean_listings, marked_fields
 from .packing import pack, space_left, violations
+from .repeats import repeated_runs
 from .residue import exclude_residue, score_residue
 from .same_product import product_groups, product_members, product_pairs
 from .sentences import sentences
@@ -57,6 +58,10 @@ def _p4_listings(spark: SparkSession, d: str) -> DataFrame:
     return clean_listings(table(spark, d, "amazon_raw"), table(spark, d, "category_list"))
 
 
+def _p4_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_runs(table(spark, d, "amazon_raw"), "row_id", "description").select("row_id", "n_words", "n_repeated")
+
+
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     return product_groups(table(spark, d, "walmart"), table(spark, d, "amazon_raw"))
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "p3_kept": _p3_kept,
     "p4_found": _p4_found,
     "p4_listings": _p4_listings,
+    "p4_repeats": _p4_repeats,
     "p5_found": _p5_found,
     "p5_members": _p5_members,
     "p6_found": _p6_found,
@@ -149,6 +155,12 @@ ORACLES: dict[str, str] = {
     "p2_members": f"""
         WITH c AS ({_COPIES}), g AS (SELECT t, b, d, min(row_id) AS gid, count(*) AS n_copies FROM c GROUP BY t, b, d)
         SELECT row_id, gid, n_copies FROM c JOIN g ON c.t IS NOT DISTINCT FROM g.t AND c.b IS NOT DISTINCT FROM g.b AND c.d IS NOT DISTINCT FROM g.d""",
+    "p4_repeats": r"""
+        WITH r AS (SELECT row_id, regexp_extract_all(coalesce(array_to_string(description, ' '), ''), '\S+') AS w FROM amazon_raw),
+        x AS (SELECT row_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT row_id, w, unnest(range(1, len(w) - 6)) AS i FROM r)),
+        t AS (SELECT s FROM x GROUP BY s HAVING min(row_id) < max(row_id)),
+        c AS (SELECT row_id, count(DISTINCT i + j) AS n FROM x JOIN t USING (s), range(0, 8) o(j) GROUP BY row_id)
+        SELECT row_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated FROM r LEFT JOIN c USING (row_id)""",
     "p9_violations": "SELECT container_id, '' AS what, 0::BIGINT AS n FROM container_sizes WHERE false",
     "p7_found": f"""
         WITH vals AS (SELECT DISTINCT brand AS v FROM amazon_raw WHERE regexp_replace(brand, '[\\s\\p{{Z}}]+', '', 'g') != ''),

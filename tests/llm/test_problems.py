@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomstone.llm import bpe, canonical_values, components, languages, layout_copies, lookalike, markup, packing, residue, same_product, sentences
+from loomstone.llm import bpe, canonical_values, components, languages, layout_copies, lookalike, markup, packing, repeats, residue, same_product, sentences
 
 SF = os.environ.get("LOOMSTONE_TESTDATA", "/root/testdata/sf0.001")
 TOKENS = bpe.tokenizer_path("byte_bpe_50k.tiktoken")
@@ -23,7 +23,7 @@ LONG = "word " * 40_000
 
 
 @tables
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p2_listings", "p2_members", "p7_found", "p9_violations"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p2_listings", "p2_members", "p4_repeats", "p7_found", "p9_violations"])
 def test_query_equals_sql(spark, name):
     from oracle import connect, rows_of_spark, rows_of_sql
 
@@ -229,6 +229,18 @@ def test_markup_rows(spark):
     assert markup.marked_fields(df.limit(0), "row_id", ["title"]).count() == 0
 
 
+def test_runs_that_several_pages_share(spark):
+    foot = "all rights are reserved by the shop and its owners"
+    rows = [(1, f"red lamp {foot} end", "a"), (2, f"{foot} blue lamp", "a"), (3, "a lamp alone", "a"), (4, None, "a"), (5, "", None), (6, f"kettle {foot}", "b"), (7, "x y z " * 9, None)]
+    df = spark.createDataFrame(rows, "id int, text string, host string")
+    got = {r.id: (r.n_words, r.n_repeated, r.unique_text) for r in repeats.repeated_runs(df, "id", "text").collect()}
+    assert got[1] == (13, 10, "red lamp end") and got[2] == (12, 10, "blue lamp") and got[6] == (11, 10, "kettle")
+    assert got[3] == (3, 0, "a lamp alone") and got[4] == (0, 0, "") and got[5] == (0, 0, "") and got[7][1] == 0
+    by_host = {r.id: r.n_repeated for r in repeats.repeated_runs(df, "id", "text", host="host").collect()}
+    assert by_host == {1: 10, 2: 10, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
+    assert repeats.repeated_runs(df.limit(0), "id", "text").count() == 0
+
+
 # --- 5
 
 
