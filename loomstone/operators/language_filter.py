@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 #: Common function words by language.
 PROFILES = {
     "en": "the of and to in is it for with on that this are as at be or from by an has have its not you your we our they was were will can all more when which but up out no so than after into any their one each".split(),
@@ -21,32 +23,47 @@ SCRIPTS = {"ru": ("Cyrillic",), "ja": ("Hiragana", "Katakana"), "zh": ("Han",),
 UNKNOWN = "und"
 
 
-def word_hits(text: Column, words: list[str]) -> Column:
-    """How many words of a text are in the list."""
-    return F.regexp_count(F.lower(text), F.lit(r"(?<!\p{L})(?:" + "|".join(sorted(set(words))) + r")(?!\p{L})"))
+#: All function words, to leave out the others at once.
+EVERY = sorted({w for words in PROFILES.values() for w in words})
+LONGEST = max(map(len, EVERY))
+
+
+def _array(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def _hits(words: str, of: list[str]) -> Column:
+    known = _array(sorted(set(of)))
+    return F.size(F.filter(words, lambda w: F.array_contains(known, w)))
 
 
-def detected(text: Column) -> Column:
-    """(lang, hits) of a text: by its most frequent script, or by the language that has most function words in it.
+def detected(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with _lang and _hits of a text: by its most frequent script, or by the language with most function words in it.
 
     Kana make Chinese characters Japanese if there is one for ten of them. Ties go to the first of the scripts, or by
-    code. Texts without evidence, null ones too, are ``und`` with 0 hits. All of it is one projection, without a shuffle.
+    code. Texts without evidence, null ones too, are ``und`` with 0 hits. All of it is projections, without a shuffle.
     """
-    text = F.coalesce(text, F.lit(""))
-    letters = {lang: F.regexp_count(text, F.lit("[" + "".join(rf"\p{{Is{s}}}" for s in scripts) + "]")) for lang, scripts in SCRIPTS.items()}
-    ja = letters["ja"] * 10 >= letters["zh"]
-    letters["ja"], letters["zh"] = F.when(ja, letters["ja"] + letters["zh"]).otherwise(0), F.when(ja, 0).otherwise(letters["zh"])
+    df = df.withColumn("_x", F.coalesce(F.col(text), F.lit("")))
+    count = lambda c: F.length("_x") - F.length(F.regexp_replace("_x", c + "+", ""))
+    other = F.col("_x").rlike(r"[\u0370-\x{10FFFF}]")  # else there are no letters but Latin ones
+    df = df.withColumn("_n", F.when(other, F.struct(*[count("[" + "".join(rf"\p{{Is{s}}}" for s in scripts) + "]").alias(lang) for lang, scripts in SCRIPTS.items()], count(r"\p{IsLatin}").alias("latin"))))
+    n = {lang: F.coalesce(F.col(f"_n.{lang}"), F.lit(0)) for lang in SCRIPTS}
+    ja = n["ja"] * 10 >= n["zh"]
+    n["ja"], n["zh"] = F.when(ja, n["ja"] + n["zh"]).otherwise(0), F.when(ja, 0).otherwise(n["zh"])
     # one of several equal ones: the first of the scripts, and of the languages by code
-    best = F.array_max(F.array(*[F.struct(n.cast("bigint").alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, n) in enumerate(letters.items())]))
-    said = F.array_max(F.array(*[F.struct(word_hits(text, PROFILES[lang]).cast("bigint").alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, lang in enumerate(sorted(PROFILES))]))
-    latin = F.regexp_count(text, F.lit(r"\p{IsLatin}"))
-    told = F.when((best["hits"] > 0) & (best["hits"] >= latin), best).otherwise(said)
-    return F.struct(F.when(told["hits"] > 0, told["lang"]).otherwise(F.lit(UNKNOWN)).alias("lang"), told["hits"].alias("hits"))
+    df = df.withColumn("_s", F.array_max(F.array(*[F.struct(c.cast("bigint").alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, c) in enumerate(n.items())])))
+    script = (F.col("_s.hits") > 0) & (F.col("_s.hits") >= F.coalesce("_n.latin", F.lit(0)))
+    df = df.withColumn("_w", F.when(~script, F.filter(F.split(F.lower("_x"), r"[^\p{L}]+"), lambda w: (F.length(w) <= LONGEST) & F.array_contains(_array(EVERY), w))))
+    df = df.withColumn("_said", F.array_max(F.array(*[F.struct(_hits("_w", PROFILES[lang]).cast("bigint").alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, lang in enumerate(sorted(PROFILES))])))
+    told = F.when(script, F.col("_s")).otherwise(F.col("_said"))
+    out = df.withColumn("_lang", F.when(told["hits"] > 0, told["lang"]).otherwise(F.lit(UNKNOWN))).withColumn("_hits", told["hits"])
+    return out.drop("_x", "_n", "_s", "_w", "_said")
 
 
 def detect(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, lang, hits) of every row; see ``detected``."""
-    return df.select(key, detected(F.col(text)).alias("_d")).select(key, "_d.lang", "_d.hits")
+    told = detected(spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))), "_t")
+    return told.select(F.col("_k").alias(key), F.col("_lang").alias("lang"), F.col("_hits").alias("hits"))
 
 
 def fill_from_cache(df: DataFrame, cache: DataFrame, key: str, text: str) -> DataFrame:

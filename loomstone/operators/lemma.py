@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import cut_lineage, spread
+
 #: Irregular English verbs, by base: past and participle.
 VERBS = {
     "be": "is are was were been am being", "have": "has had having", "do": "does did done doing", "go": "goes went gone", "make": "made", "buy": "bought", "keep": "kept", "hold": "held", "leave": "left", "sell": "sold", "tell": "told", "come": "came", "give": "gave given",
@@ -111,7 +113,7 @@ def lemmatise_known(df: DataFrame, key: str, tokens: str, words: DataFrame, most
     Up to ``most`` words, which are counted first, go to the tasks. Of a longer list only those that are a base of some
     form of it are met by a join of forms, which reads each word by its likeliest part of speech.
     """
-    forms = words.select("form").distinct()
+    forms = cut_lineage(words.select("form").distinct())  # counted and read
     if forms.count() <= most:
         known = df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in forms.toLocalIterator()))
         kind = df.schema[key].dataType.simpleString()
@@ -121,7 +123,7 @@ def lemmatise_known(df: DataFrame, key: str, tokens: str, words: DataFrame, most
             for pdf in batches:
                 yield pd.DataFrame({key: pdf[key], tokens: pdf[tokens].map(lambda row: None if row is None else _lemmas(list(row), known.value, memo))})
 
-        return df.select(key, tokens).mapInPandas(run, f"`{key}` {kind}, `{tokens}` array<string>")
+        return spread(df.select(key, tokens)).mapInPandas(run, f"`{key}` {kind}, `{tokens}` array<string>")
     return lemmatise_by(df, key, tokens, dictionary(forms))
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage, spread
+
 
 def bigrams(df: DataFrame, tokens: str, keep: list[str]) -> DataFrame:
     """(keep.., a, b) of neighbours within a document, built within the row, without a window."""
@@ -67,7 +69,7 @@ def mwe_join(df: DataFrame, key: str, tokens: str, phrases: DataFrame, most: int
     Up to ``most`` phrases, which are counted first, go to the tasks, and each row is joined by itself without a
     shuffle. A longer list is met by an equality join of the bigrams that occur, with the same result.
     """
-    known = phrases.select("a", "b").distinct()
+    known = cut_lineage(phrases.select("a", "b").distinct())  # counted and read
     if known.count() <= most:
         return mwe_join_any(df, key, tokens, [(r["a"], r["b"]) for r in known.toLocalIterator()])
     return mwe_join_large(df, key, tokens, known)
@@ -122,7 +124,7 @@ def mwe_join_any(df: DataFrame, key: str, tokens: str, phrases: list[tuple[str,
             yield pd.DataFrame({key: pdf[key], tokens: rows})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, tokens).mapInPandas(run, f"`{key}` {kind}, `{tokens}` array<string>")
+    return spread(df.select(key, tokens)).mapInPandas(run, f"`{key}` {kind}, `{tokens}` array<string>")
 
 
 def brand_phrases(df: DataFrame, brand: str, stop: list[str], least: int = 10) -> DataFrame:
