@@ -10,8 +10,6 @@ as many copies as there are containers, and clusters that nearly every container
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame

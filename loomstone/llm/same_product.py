@@ -10,7 +10,9 @@ connected component of the keys. Copies in layout join their originals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,7 +69,8 @@ def part_number(c: Column) -> Column:
     It has five characters or more, two of them digits and one a letter, and is no size or count; one behind ``for``
     or the like is another product's.
     """
-    words = F.regexp_extract_all(F.regexp_replace(c, FITS[:-1] + PART, " "), F.lit(PART), 0)
+    own = F.when(c.rlike(FITS[:-1]), F.regexp_replace(c, FITS[:-1] + PART, " ")).otherwise(c)
+    words = F.regexp_extract_all(own, F.lit(PART), 0)
     bare = F.transform(F.filter(words, lambda x: ~x.rlike(NO_PART)), lambda x: F.upper(F.regexp_replace(x, r"[^a-z\d]", "")))
     return F.try_element_at(F.filter(bare, lambda x: (F.length(x) >= 5) & x.rlike("[A-Z]")), F.lit(1))
 
@@ -162,13 +165,15 @@ def same_sizes(sizes: DataFrame, group: list[str], rounding: float = ROUNDING) -
 def guarded(keys: DataFrame, *witnesses: str) -> DataFrame:
     """(listing, key): of (listing, key, witnesses..) each key, split by a witness of which its listings have several.
 
-    Listings without that witness then share a part of their own. Two aggregates a witness, so a hot key is one row a
-    task before it is shuffled.
+    Listings without that witness then share a part of their own. Whether there are several is told by the least and the
+    greatest hash of a witness, in an aggregate of numbers, so a hot key is one row a task before it is shuffled.
     """
-    several = keys.groupBy("key").agg(*[x for w in witnesses for x in (F.min(w).alias(f"_lo_{w}"), F.max(w).alias(f"_hi_{w}"))])
+    told = keys.select("key", *[F.when(F.col(w).isNotNull(), F.xxhash64(w)).alias(w) for w in witnesses])
+    several = told.groupBy("key").agg(*[x for w in witnesses for x in (F.min(w).alias(f"_lo_{w}"), F.max(w).alias(f"_hi_{w}"))])
     split = several.select("key", *[(F.col(f"_lo_{w}") < F.col(f"_hi_{w}")).alias(f"_two_{w}") for w in witnesses])
+    split = split.filter(reduce(lambda a, b: a | b, [F.coalesce(f"_two_{w}", F.lit(False)) for w in witnesses]))  # few keys lead to several
     part = [F.when(F.col(f"_two_{w}"), F.concat(F.lit("|"), F.coalesce(w, F.lit("-")))).otherwise(F.lit("")) for w in witnesses]
-    return keys.join(split, "key").select("listing", F.concat("key", *part).alias("key"))
+    return keys.join(split, "key", "left").select("listing", F.concat("key", *part).alias("key"))
 
 
 def listing_keys(listings: DataFrame, rounding: float = ROUNDING, one_brand: float = ONE_BRAND, names: DataFrame | None = None) -> DataFrame:
