@@ -1,9 +1,9 @@
 """Problem 3: template residue, filler, error pages and script notices in place of real text.
 
 Character n-gram models of natural prose, of residue (stand-in text, error messages, script notices, filler) and of
-unfilled placeholders are fitted here: prose on a bounded sample of the texts themselves and on ordinary sentences, the
-others on families of examples. What the sample tells behind good text counts as prose, as residue stands alone or
-before it. Every character gets its log-likelihood ratio. Averaged over a window it tells which stretches read as
+unfilled placeholders are fitted here: prose on all the texts themselves and on ordinary sentences, the others on
+families of examples. What the texts tell behind good text counts as prose, as residue stands alone or before it. The
+sentences are judged and their n-grams counted in tasks; the driver gets sums in tables of a fixed size. Every character gets its log-likelihood ratio. Averaged over a window it tells which stretches read as
 residue; a sentence is residue if such windows cover most of it, so that a sentence that only speaks of an error page
 isn't. A text is residue if it begins with such a sentence or mostly consists of them. Windows of placeholders are
 confirmed by their exact form, anywhere in a text.
@@ -13,21 +13,24 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import cut_lineage, spread
 from .arrowtext import code_points, single, slices
 from .markup import TAGS
 from .residue_examples import ordinary_texts, residue_texts
 
-ORDER, BITS, PAD, WINDOW = 5, 18, 5, 21
-#: Texts that the models are fitted on, at most.
-FIT_TEXTS = 3000
+ORDER, PAD, WINDOW = 5, 5, 21
+#: Bits of the slots of the k-grams, from k = 1, and where each k's slots begin.
+BITS = (16, 18, 19, 20, 21)
+START = np.cumsum([0, *(1 << b for b in BITS)])
+#: Passes over the texts that tell prose from residue.
+ROUNDS = 2
 #: Share of a sentence that residue windows must cover, and nats a character that the residue model must lead by; set on
 #: families of examples that were left out of the fit, each of residue and of ordinary sentences.
 COVERAGE, LEAD = 0.7, 0.3
@@ -92,7 +95,7 @@ def gram_hashes(cps: np.ndarray) -> list[np.ndarray]:
         shifted[: k - 1] = 0
         shifted[k - 1 :] = base[: len(base) - k + 1]
         h = (h * np.uint64(0x100000001B3)) ^ (shifted * np.uint64(0x9E3779B97F4A7C15))
-        out.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int64))
+        out.append(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS[k - 1])).astype(np.int64))
     return out
 
 
@@ -100,21 +103,42 @@ class Grams:
     """Counts of character n-grams in hashed tables; the gram that stands before a text is counted as well."""
 
     def __init__(self, texts: list[str], lower: bool):
+        self.counts, self.total, self.lower = np.zeros(START[-1], np.int64), 0, lower
+        self.add(texts)
+
+    def add(self, texts: list[str]) -> None:
         cps, offsets = code_points(pa.array(texts, pa.large_string()))
         cps, place, _ = padded(cps, offsets)
         told = np.zeros(len(cps), bool)
         told[place] = True
         told[:-1] |= told[1:]
-        self.counts = [np.bincount(g[told], minlength=1 << BITS).astype(np.float32) for g in gram_hashes(LOWER[np.minimum(cps, 0xFFFF)] if lower else cps)]
-        self.total = np.float32(max(1, len(place)))
+        for start, g in zip(START, gram_hashes(LOWER[np.minimum(cps, 0xFFFF)] if self.lower else cps)):
+            np.add.at(self.counts, start + g[told], 1)
+        self.total += len(place)
+
+    def __add__(self, other: Grams) -> Grams:
+        out = Grams([], self.lower)
+        out.counts, out.total = self.counts + other.counts, self.total + other.total
+        return out
 
 
 class Ratio:
     """Two models side by side, so that one look-up serves both."""
 
     def __init__(self, residue: Grams, prose: Grams):
-        self.tables = [np.stack([a, b], 1) for a, b in zip(residue.counts, prose.counts)]
-        self.totals = np.array([residue.total, prose.total], np.float32)
+        self.tables = [np.stack([residue.counts[a:b], prose.counts[a:b]], 1).astype(np.float32) for a, b in itertools.pairwise(START)]
+        self.totals = np.maximum(1, np.array([residue.total, prose.total], np.float32))
+
+    def __getstate__(self) -> tuple:
+        """Only the slots in use are sent to the tasks."""
+        used = [np.flatnonzero(t.any(1)) for t in self.tables]
+        return [u.astype(np.int32) for u in used], [t[u] for t, u in zip(self.tables, used)], self.totals
+
+    def __setstate__(self, state: tuple) -> None:
+        used, counts, self.totals = state
+        self.tables = [np.zeros((1 << bits, 2), np.float32) for bits in BITS]
+        for table, u, c in zip(self.tables, used, counts):
+            table[u] = c
 
     def __call__(self, cps: np.ndarray, place: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """log p(residue) - log p(prose) of each place's character; ``own`` is taken off the counts in prose."""
@@ -140,6 +164,20 @@ def placeholder_examples() -> list[str]:
     return [frame % name for frame, name in itertools.product(FRAMES, NAMES)] + [x for x in PRINTF for _ in range(15)]
 
 
+def kinds_of(text: str) -> list[tuple[str, str]]:
+    """(kind, sentence) of each sentence; sentences that differ in case and digits alone are of one kind."""
+    return [(re.sub(r"\d", "0", s.lower()), s) for s in map(str.strip, SENTENCE.split(text)) if s]
+
+
+class Seeds:
+    """The counts that no texts change: of residue, of placeholders, of ordinary sentences in lower case and as written."""
+
+    def __init__(self, without: frozenset[str] = frozenset()):
+        told = ordinary_texts(without=without)
+        self.residue, self.marks = Grams(residue_texts(without=without), True), Grams(placeholder_examples(), False)
+        self.low, self.raw = Grams(told, True), Grams(told, False)
+
+
 class Sentences:
     """A batch of texts cut into sentences: behind a terminator and white space or in a script without it, and at line breaks."""
 
@@ -162,25 +200,20 @@ class Sentences:
 class Residue:
     """The models and what they say of texts."""
 
-    def __init__(self, sample: list[str], rounds: int = 2, without: frozenset[str] = frozenset()):
-        told = ordinary_texts(without=without)
-        residue, marks = Grams(residue_texts(without=without), True), Grams(placeholder_examples(), False)
+    def __init__(self, texts: list[str] = (), rounds: int = ROUNDS, without: frozenset[str] = frozenset(), seeds: Seeds | None = None):
+        """Fitted on texts in memory; ``fit_residue`` does the same for a table."""
+        seeds = seeds or Seeds(without)
         # each kind of sentence counts once, however often it is told, so that no share of the texts decides
-        kinds: dict[str, int] = {}
-        every: list[str] = []
-        places: list[list[int]] = []
-        for text in sample:
-            places.append([])
-            for s in filter(None, map(str.strip, SENTENCE.split(text))):
-                kind = re.sub(r"\d", "0", s.lower())
-                if kind not in kinds:
-                    kinds[kind] = len(every)
-                    every.append(s)
-                places[-1].append(kinds[kind])
+        least: dict[str, str] = {}
+        told = [kinds_of(text) for text in texts]
+        for kind, s in itertools.chain.from_iterable(told):
+            least[kind] = min(s, least.get(kind, s))
+        number = {kind: i for i, kind in enumerate(least)}
+        every, places = list(least.values()), [[number[kind] for kind, _ in x] for x in told]
         natural = np.zeros(len(every), bool)
         for i in range(rounds + 1):
             mine = [every[k] for k in np.flatnonzero(natural)]
-            self.reads, self.holds = Ratio(residue, Grams([*told, *mine], True)), Ratio(marks, Grams([*told, *mine], False))
+            self.learn(seeds, Grams(mine, True), Grams(mine, False))
             if not every or i == rounds:
                 break
             hit, held = self.sentence_hits(every, natural)
@@ -190,6 +223,10 @@ class Residue:
                     natural[k] |= follows
             natural &= ~held
 
+    def learn(self, seeds: Seeds, low: Grams, raw: Grams) -> None:
+        """The models from the seeds and the counts of natural sentences, in lower case and as written."""
+        self.reads, self.holds = Ratio(seeds.residue, seeds.low + low), Ratio(seeds.marks, seeds.raw + raw)
+
     def sentence_hits(self, texts: list[str], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(reads as residue, has a placeholder) of single sentences, those of ``own`` without their own counts."""
         cps, offsets = code_points(pa.array(texts, pa.large_string()))
@@ -249,19 +286,74 @@ class Residue:
         return bad | held, share, held
 
 
-def fit_residue(df: DataFrame, text: str, fit_texts: int = FIT_TEXTS) -> Residue:
-    """The models, fitted on the distinct texts among at most ``fit_texts`` rows, those of the least hash."""
-    sample = df.select(text).filter(F.length(F.trim(text)) > 0).orderBy(F.xxhash64(text), text).limit(fit_texts)
-    return Residue(list(dict.fromkeys(r[0] for r in sample.toLocalIterator())))
-
+def natural_grams(sentences: DataFrame) -> tuple[Grams, Grams]:
+    """N-gram counts of a column of sentences, in lower case and as written; to the driver go sums, one a slot in use."""
+    slots = int(START[-1])
 
-def score_residue(df: DataFrame, key: str = "item_id", text: str = "description", fit_texts: int = FIT_TEXTS, model: Residue | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, raw = Grams([], True), Grams([], False)
+        for batch in batches:
+            for part in slices(batch, 0, BATCH_BYTES):
+                texts = part.column(0).to_pylist()
+                low.add(texts)
+                raw.add(texts)
+        counts = np.concatenate([low.counts, raw.counts, [low.total]])
+        used = np.flatnonzero(counts)
+        for lo in range(0, len(used), 1 << 17):
+            at = used[lo : lo + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "n"])
+
+    sums = spread(sentences).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(2 * slots + 1, np.int64)
+    counts[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    low, raw = Grams([], True), Grams([], False)
+    low.counts, raw.counts, low.total, raw.total = counts[:slots], counts[slots:-1], int(counts[-1]), int(counts[-1])
+    return low, raw
+
+
+def fit_residue(df: DataFrame, text: str, rounds: int = ROUNDS) -> Residue:
+    """The models, fitted on every text."""
+    seeds = Seeds()
+    model = Residue(seeds=seeds)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, BATCH_BYTES):
+                told = [kinds_of(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([[x[i] for x in t] for t in told], pa.list_(pa.string())) for i in (0, 1))], names=["doc", "kinds", "told"])
+
+    def judge(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, 1, BATCH_BYTES):
+                    hit, held = shared.value.sentence_hits(part.column(1).to_pylist(), np.array(part.column(2).to_pylist(), bool))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hit), pa.array(held)], names=["kind", "s", "hit", "held"])
+
+        return run
+
+    texts = df.select(F.monotonically_increasing_id().alias("doc"), F.col(text).alias("text")).filter(F.length(F.trim("text")) > 0)
+    docs = cut_lineage(spread(texts).mapInArrow(cut, "doc bigint, kinds array<string>, told array<string>").select("doc", F.transform("kinds", lambda x: F.xxhash64(x)).alias("kinds"), "told"))
+    state = docs.select(F.explode(F.arrays_zip("kinds", "told")).alias("x")).groupBy(F.col("x.kinds").alias("kind")).agg(F.min("x.told").alias("s")).withColumn("natural", F.lit(False))
+    for _ in range(rounds):
+        shared = df.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size
+        judged = cut_lineage(spread(state).mapInArrow(judge(shared), "kind bigint, s string, hit boolean, held boolean"))
+        shared.destroy()
+        # the first hit of a text that doesn't begin with it follows good text
+        hits = docs.select("doc", F.posexplode("kinds").alias("pos", "kind")).join(judged.filter("hit").select("kind"), "kind")
+        follows = hits.groupBy("doc").agg(F.min(F.struct("pos", "kind")).alias("x")).filter("x.pos > 0").select("x.kind", F.lit(True).alias("follows")).distinct()
+        natural = (~F.col("hit") | F.coalesce("follows", F.lit(False))) & ~F.col("held")
+        state = cut_lineage(judged.join(follows, "kind", "left").select("kind", "s", natural.alias("natural")))
+        model.learn(seeds, *natural_grams(state.filter("natural").select("s")))
+    return model
+
+
+def score_residue(df: DataFrame, key: str = "item_id", text: str = "description", model: Residue | None = None) -> DataFrame:
     """(key, is_residue BOOLEAN, residue_share DOUBLE, has_placeholder BOOLEAN) of every row.
 
     Null, empty and blank texts are no residue and have share 0. ``residue_share`` is the share of the text's
     letters in sentences that read as residue. Repeated rows repeat.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model or fit_residue(df, text, fit_texts))  # tables of a fixed size
+    shared = df.sparkSession.sparkContext.broadcast(model or fit_residue(df, text))  # tables of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value

@@ -195,6 +195,20 @@ def test_residue_rows(spark, residue_model):
     assert residue.score_residue(df.limit(0)).count() == 0
 
 
+def test_the_models_of_residue_read_every_text(spark):
+    """More texts than the 3,000 that were once drawn, some repeated; no sentence's counts are left out."""
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).capitalize()
+    texts = [f"{name()} feels light in the hand. You can clean it in {i} minutes." for i in range(3300)]
+    texts += ["404 - page not found.", "Lorem ipsum dolor sit amet. Tempor velit.", "TBD", "Made by ${brand}.", "A lamp. This page needs scripts to work, says the print.", "A LAMP. Owners like it."] + texts[:50]
+    told = residue.fit_residue(spark.createDataFrame([(t,) for t in [*texts, None, " "]], "t string"), "t")
+    whole = residue.Residue(texts)
+    for a, b in ((told.reads, whole.reads), (told.holds, whole.holds)):
+        assert (a.totals == b.totals).all() and all((x == y).all() for x, y in zip(a.tables, b.tables))
+    least = min(len(t) for t in texts[:3300])
+    assert told.reads.totals[1] > 3300 * (least - len(" You can clean it in 0 minutes."))
+
+
 # --- 4
 
 
