@@ -5,12 +5,17 @@ n-grams that both have, divided by the root of the product of their numbers. Lan
 Nyström, and one ridge regression a language is fitted on the landmark features. As the kernel of a sentence with all
 landmarks is its presence vector times the landmarks' matrix, whitening and coefficients fold into one matrix from
 n-grams to languages, and a batch is scored by one product of its sparse presence matrix with that.
+
+The fit reads every labelled sentence. Its frame, the sentence without names and numbers, takes the label that most of
+its texts have, and weighs the same in however many readings it is told. Tasks sum the regression's equations over all
+sentences; to the driver go the sums and the landmarks alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import spread
+from ..runtime import cut_lineage, spread
 from .arrowtext import code_points, single, slices, to_strings
 from .lookalike import normalise_batch
 from .markup import TRIGGER, to_plain
 from .residue import LOWER, padded, score_residue
 
 LEAST_N, MOST_N, BITS = 2, 5, 15
-#: Labelled texts that the classifier is fitted on, at most, of each table; landmarks; ridge penalty; sentences of a language.
-FIT_TEXTS, LANDMARKS, RIDGE, FRAMES = 6000, 640, 0.1, 800
-#: One of so many sentences is left out of the last fit, for the confidences.
+#: Landmarks; ridge penalty.
+LANDMARKS, RIDGE = 640, 0.1
+#: One of so many frames is left out of a fit that only serves to calibrate the confidences.
 HELD_OUT = 10
+#: Parts that the readings of a frame are dealt into, so that none is one task's.
+PARTS = 8
+#: Factors that are tried to make confidences of scores.
+FACTORS = np.geomspace(0.5, 32, 25)
+#: N-grams that are multiplied at once.
+ENTRIES = 1000
 #: A sentence of fewer letters (of a script with spaces), or led by less, takes the language of the rest of its text.
 LEAST_LETTERS, MARGIN = 12, 0.7
 #: Bytes of text that are scored at once, about.
@@ -80,15 +91,66 @@ def _letters() -> np.ndarray:
 LETTER = _letters()
 
 
-def _pivots(owner: np.ndarray, slot: np.ndarray, size: np.ndarray, members: np.ndarray, most: int) -> np.ndarray:
+class Examples(NamedTuple):
+    """Sentences as sets of n-grams, in the order of their owners, and of each its frame, language, votes, weight, share of its frame."""
+
+    owner: np.ndarray
+    slot: np.ndarray
+    size: np.ndarray
+    frame: np.ndarray
+    y: np.ndarray
+    told: np.ndarray
+    weight: np.ndarray
+    share: np.ndarray
+    apart: np.ndarray
+
+
+def examples_of(sentences: list[str], *rest: np.ndarray) -> Examples:
+    owner, slot, _ = presence(sentences)
+    return Examples(owner, slot, np.maximum(1, np.bincount(owner, minlength=len(sentences))), *rest)
+
+
+def _taken(x: Examples, some: np.ndarray) -> Examples:
+    """The examples ``some``, in that order."""
+    starts, ends = np.searchsorted(x.owner, some), np.searchsorted(x.owner, some, "right")
+    entries = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in zip(starts, ends))])
+    return Examples(np.repeat(np.arange(len(some)), ends - starts), x.slot[entries], *(v[some] for v in x[2:]))
+
+
+def _products(x: Examples, table: np.ndarray) -> np.ndarray:
+    """The examples' unit vectors times ``table``; what readings of a frame that stand together share is added up once."""
+    n = len(x.y)
+    out = np.zeros((n, table.shape[1]), np.float32)
+    border = np.append(np.flatnonzero(np.concatenate([[True], x.frame[1:] != x.frame[:-1]])), n)
+    single_, shared = np.ones(len(x.owner), bool), np.zeros(1 << BITS, bool)
+    for a, b in zip(border[:-1], border[1:]):
+        if b - a >= 4:
+            span = slice(*np.searchsorted(x.owner, [a, b]))
+            shared = np.bincount(x.slot[span], minlength=1 << BITS) == b - a
+            out[a:b] = table[shared].sum(0)
+            single_[span] = ~shared[x.slot[span]]
+    owner, slot = x.owner[single_], x.slot[single_]
+    starts = np.searchsorted(owner, np.arange(n))
+    ends = np.append(starts[1:], len(owner))
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + ENTRIES, "right")))
+        some = lo + np.flatnonzero(ends[lo:hi] > starts[lo:hi])
+        if len(some):
+            out[some] += np.add.reduceat(table[slot[starts[lo] : ends[hi - 1]]], starts[some] - starts[lo], axis=0)
+        lo = hi
+    out /= np.sqrt(x.size, dtype=np.float32)[:, None]
+    return out
+
+
+def _pivots(x: Examples, members: np.ndarray, most: int) -> np.ndarray:
     """Landmarks among ``members`` by pivoted Cholesky: each next one is what the former ones explain least."""
     if len(members) <= most:
         return members
-    starts = np.searchsorted(owner, members)
-    ends = np.searchsorted(owner, members, "right")
-    slots = np.concatenate([slot[a:b] for a, b in zip(starts, ends)])
-    begin = np.concatenate([[0], np.cumsum(ends - starts)])[:-1]
-    root = np.sqrt(size[members])
+    mine = _taken(x, members)
+    begin = np.searchsorted(mine.owner, np.arange(len(members)))
+    ends = np.append(begin[1:], len(mine.owner))
+    root = np.sqrt(mine.size)
     left, chosen = np.ones(len(members)), []
     factor = np.zeros((len(members), most), np.float64)
     for t in range(most):
@@ -96,83 +158,95 @@ def _pivots(owner: np.ndarray, slot: np.ndarray, size: np.ndarray, members: np.n
         if left[p] < 1e-2:
             break
         vector = np.zeros(1 << BITS, np.float32)
-        vector[slot[starts[p] : ends[p]]] = 1
-        column = np.add.reduceat(vector[slots], begin) / (root * root[p])
+        vector[mine.slot[begin[p] : ends[p]]] = 1
+        column = np.add.reduceat(vector[mine.slot], begin) / (root * root[p])
         factor[:, t] = (column - factor[:, :t] @ factor[p, :t]) / np.sqrt(left[p])
         left -= factor[:, t] ** 2
         chosen.append(p)
     return members[chosen]
 
 
-def _landmarks(owner: np.ndarray, slot: np.ndarray, size: np.ndarray, members: np.ndarray, most: int) -> np.ndarray:
-    """Half of them the most told, which come first, the others where those leave most unexplained."""
-    first = members[: most // 2]
-    return np.union1d(first, _pivots(owner, slot, size, np.setdiff1d(members, first), most - len(first)))
+def _landmarks(x: Examples, most: int) -> np.ndarray:
+    """``most`` examples of each language: half of them the most told, the others where those leave most unexplained."""
+    out = [np.zeros(0, np.int64)]
+    filled = np.bincount(x.owner, minlength=len(x.y)) > 0
+    for c in np.unique(x.y):
+        members = np.flatnonzero((x.y == c) & filled)
+        members = members[np.lexsort([x.frame[members], -x.told[members]])]
+        first = members[: most // 2]
+        out += [first, _pivots(x, members[most // 2 :], most - len(first))]
+    return np.concatenate(out)
+
+
+def _marks(x: Examples) -> np.ndarray:
+    marks = np.zeros((1 << BITS, len(x.y)), np.float32)
+    marks[x.slot, x.owner] = 1
+    marks /= np.sqrt(x.size)
+    return marks
+
+
+def _kept(x: Examples, table: np.ndarray) -> np.ndarray:
+    """Whose label the first fit or more than two votes confirm."""
+    return (_products(x, table).argmax(1) == x.y) | (x.told > 2)
+
+
+def _equations(x: Examples, marks: np.ndarray, n_languages: int) -> np.ndarray:
+    """The regression's sums over the examples: of kernels by kernels, of kernels by targets, of shares and weights."""
+    kernel = _products(x, marks)
+    target = np.where(x.y[:, None] == np.arange(n_languages), 1.0, -1.0).astype(np.float32)
+    weighted = (kernel * x.weight[:, None].astype(np.float32)).T
+    return np.concatenate([(weighted @ kernel).ravel(), (weighted @ target).ravel(), [x.share.sum(), x.weight.sum()]]).astype(np.float64)
+
+
+def _solved(sums: np.ndarray, marks: np.ndarray, n_languages: int, ridge: float) -> np.ndarray:
+    """The matrix from n-grams to languages."""
+    m = marks.shape[1]
+    values, vectors = np.linalg.eigh((marks.T @ marks).astype(np.float64))
+    fine = values > 1e-4
+    white = vectors[:, fine] / np.sqrt(values[fine])
+    scale = sums[-2] / max(sums[-1], 1e-9)
+    left = white.T @ sums[: m * m].reshape(m, m) @ white * scale + ridge * np.eye(white.shape[1])
+    return (marks @ (white @ np.linalg.solve(left, white.T @ sums[m * m : -2].reshape(m, n_languages) * scale))).astype(np.float32)
+
+
+def _likelihoods(x: Examples, first: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Of each factor the log-likelihood of the examples, if scores times it are confidences; and their shares."""
+    some = _kept(x, first)
+    scores, y, share = _products(x, table)[some].astype(np.float64), x.y[some], x.share[some]
+    z = scores - scores.max(1, keepdims=True)
+    return np.array([*(float((share * (f * z[np.arange(len(y)), y] - np.log(np.exp(f * z).sum(1)))).sum()) for f in FACTORS), share.sum()])
 
 
-def _sharpness(scores: np.ndarray, y: np.ndarray) -> float:
+def _sharpness(likelihoods: np.ndarray) -> float:
     """The factor by which scores become the likeliest confidences of sentences that the model wasn't fitted on."""
-    best, found = -np.inf, 4.0
-    for factor in np.geomspace(0.5, 32, 25):
-        z = factor * (scores - scores.max(1, keepdims=True))
-        fit = float((z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))).mean())
-        if fit > best:
-            best, found = fit, float(factor)
-    return found
+    return float(FACTORS[likelihoods[:-1].argmax()]) if likelihoods[-1] > 0 else 4.0
+
+
+def per_language(n_languages: int, landmarks: int = LANDMARKS) -> int:
+    return max(8, landmarks // n_languages)
 
 
 class LanguageModel:
     """One-versus-rest kernel ridge regression over landmark sentences."""
 
-    def __init__(self, sentences: list[str], labels: list[str], told: list[int] | None = None, rounds: int = 1, landmarks: int = LANDMARKS, ridge: float = RIDGE):
-        self.languages = sorted(set(labels))
-        if not self.languages:
-            self.table, self.sharpness = np.zeros((1 << BITS, 1), np.float32), 1.0
-            self.languages = ["und"]
+    def __init__(self, sentences: list[str], labels: list[str], told: list[int] | None = None, landmarks: int = LANDMARKS, ridge: float = RIDGE):
+        """Fitted on sentences in memory, each a frame of its own; ``fit_languages`` does the same for a table."""
+        self.languages, self.table, self.sharpness = sorted(set(labels)) or ["und"], np.zeros((1 << BITS, 1), np.float32), 1.0
+        if not labels:
             return
+        n, one = len(self.languages), np.ones(len(labels))
         y = np.array([self.languages.index(x) for x in labels])
-        told = np.ones(len(sentences)) if told is None else np.array(told, float)
-        some = np.unique(presence(sentences)[0])
-        sentences, y, told = [sentences[i] for i in some], y[some], told[some]
-        owner, slot, _ = presence(sentences)
-        size = np.maximum(1, np.bincount(owner, minlength=len(sentences)))
-        keep = np.ones(len(sentences), bool)
-        apart = np.arange(len(sentences)) % HELD_OUT == 0 if len(sentences) >= 20 * HELD_OUT else np.zeros(len(sentences), bool)
-        for i in range(rounds + 1):
-            some = np.concatenate([_landmarks(owner, slot, size, np.flatnonzero(keep & (y == c) & ~(apart & (i == rounds))), max(8, landmarks // len(self.languages))) for c in range(len(self.languages))])
-            number = np.full(len(sentences), -1)
-            number[some] = np.arange(len(some))
-            mine = number[owner] >= 0
-            marks = np.zeros((1 << BITS, len(some)), np.float32)
-            marks[slot[mine], number[owner[mine]]] = 1
-            marks /= np.sqrt(size[some])
-            used = np.flatnonzero(keep & ~(apart & (i == rounds)))
-            kernel = np.zeros((len(sentences), len(some)), np.float32)
-            starts = np.searchsorted(owner, np.arange(len(sentences)))
-            ends = np.append(starts[1:], len(owner))
-            for lo in range(0, len(sentences), 100):
-                hi = min(lo + 100, len(sentences))
-                span = slice(starts[lo], ends[hi - 1])
-                some_rows = np.unique(owner[span])
-                if len(some_rows):
-                    kernel[some_rows] = np.add.reduceat(marks[slot[span]], starts[some_rows] - starts[lo], axis=0) / np.sqrt(size[some_rows, None])
-            values, vectors = np.linalg.eigh(kernel[some].astype(np.float64))
-            fine = values > 1e-4
-            white = vectors[:, fine] / np.sqrt(values[fine])
-            features = kernel[used] @ white
-            target = np.where(y[used][:, None] == np.arange(len(self.languages)), 1.0, -1.0)
-            # often told sentences weigh more and every language weighs the same, both tempered
-            weight = np.sqrt(told[used])
-            weight /= np.sqrt(np.maximum(1, np.bincount(y[used], weight, minlength=len(self.languages))))[y[used]]
-            weight *= len(weight) / weight.sum()
-            left = (features * weight[:, None]).T @ features + ridge * np.eye(features.shape[1])
-            coefficients = np.linalg.solve(left, (features * weight[:, None]).T @ target)
-            self.table = (marks @ (white @ coefficients)).astype(np.float32)
-            if i < rounds:
-                guess = (kernel @ (white @ coefficients)).argmax(1)
-                keep = (guess == y) | (told > 2)
-        some = np.flatnonzero(keep & apart)
-        self.sharpness = _sharpness(kernel[some] @ (white @ coefficients), y[some]) if len(some) else 4.0
+        told = one if told is None else np.array(told, float)
+        apart = np.arange(len(labels)) % HELD_OUT == 0 if len(labels) >= 20 * HELD_OUT else one < 0
+        weight = np.sqrt(told) / np.sqrt(np.maximum(1, np.bincount(y, np.sqrt(told), minlength=n)))[y]
+        x = examples_of(sentences, np.arange(len(labels)), y, told, weight, one, apart)
+        marks = _marks(_taken(x, _landmarks(x, per_language(n, landmarks))))
+        main, rest = _taken(x, np.flatnonzero(~apart)), _taken(x, np.flatnonzero(apart))
+        some, others = _equations(main, marks, n), _equations(rest, marks, n)
+        first = _solved(some + others, marks, n, ridge)
+        some, others = (sums - _equations(_taken(e, np.flatnonzero(~_kept(e, first))), marks, n) for sums, e in ((some, main), (others, rest)))
+        self.sharpness = _sharpness(_likelihoods(rest, first, _solved(some, marks, n, ridge)))
+        self.table = _solved(some + others, marks, n, ridge)
 
     def scores(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(score of each sentence by language, letters of each sentence)."""
@@ -257,27 +331,108 @@ SEGMENT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("co
 _SEGMENT = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int64()), ("whole", pa.bool_())]))
 
 
-def fit_languages(labelled: DataFrame, fit_texts: int = FIT_TEXTS) -> LanguageModel:
-    """The classifier from (text, lang), lang perhaps wrong: at most ``fit_texts`` rows, those of the least hash."""
+def _summed(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum of ``of`` over all batches; to the driver go ``size`` numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(batch)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["i", "x"])
+
+    sums = df.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros(size)
+    out[sums["i"].to_numpy()] = sums["x"].to_numpy()
+    return out
+
+
+def labelled_sentences(labelled: DataFrame) -> DataFrame:
+    """(frame, s, lang, n): every sentence with letters, how often it is told under each label, in parts."""
     plain = F.array_join("text", "\n") if isinstance(labelled.schema["text"].dataType, T.ArrayType) else F.col("text")
     good = labelled.select(plain.alias("text"), F.lower(F.trim("lang")).alias("lang")).filter((F.length(F.trim("text")) > 0) & F.col("lang").rlike("^[a-z]{2,3}$") & ~F.col("lang").isin(*NO_LABEL))
-    rows = [(r[0], r[1]) for r in good.orderBy(F.xxhash64("text"), "text", "lang").limit(fit_texts).toLocalIterator()]
-    votes: dict[str, dict[str, int]] = {}
-    shown: dict[str, dict[str, None]] = {}
-    for text, (_, lang) in zip(readable(pa.array([r[0] for r in rows], pa.string())), rows):
-        for s in split_sentences(text or ""):
-            frame = NAMED.sub("X", re.sub(r"\d+", "0", s))
-            shown.setdefault(frame, {})[s] = None
-            mine = votes.setdefault(frame, {})
-            mine[lang] = mine.get(lang, 0) + 1
-    # the labels of a sentence's frame vote, so that a wrong label of one text doesn't count, and the most told come first
-    by: dict[str, list[tuple[int, int, str]]] = {}
-    for frame, v in votes.items():
-        lang = max(v, key=lambda x: (v[x], x))
-        by.setdefault(lang, []).extend((i, -v[lang], s) for i, s in enumerate(shown[frame]))
-    # one reading of each frame, then a second one, and so on: what a sentence is told of varies as well
-    chosen = [(s, lang, -n) for lang, mine in sorted(by.items()) for _, n, s in sorted(mine)[:FRAMES]]
-    return LanguageModel([c[0] for c in chosen], [c[1] for c in chosen], [c[2] for c in chosen])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0, BATCH_BYTES):
+                told: dict[tuple[str, str], int] = {}
+                for text, lang in zip(readable(part.column(0)), part.column(1).to_pylist()):
+                    for s in split_sentences(text or ""):
+                        told[s, lang] = told.get((s, lang), 0) + 1
+                told = {k: n for k, n in told.items() if any(map(str.isalpha, k[0]))}
+                frames = [NAMED.sub("X", re.sub(r"\d+", "0", s)) for s, _ in told]
+                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.string()), pa.array([s for s, _ in told], pa.string()), pa.array([x for _, x in told], pa.string()), pa.array(list(told.values()), pa.int64())], names=["frame", "s", "lang", "n"])
+
+    return spread(good).mapInArrow(run, "frame string, s string, lang string, n bigint")
+
+
+def fit_languages(labelled: DataFrame, ridge: float = RIDGE) -> LanguageModel:
+    """The classifier from every (text, lang), lang perhaps wrong."""
+    spark = labelled.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    read = cut_lineage(labelled_sentences(labelled))
+    # the labels of a sentence's frame vote, so that a wrong label of one text doesn't count
+    votes = read.groupBy("frame", "lang").agg(F.sum("n").alias("n")).groupBy("frame").agg(F.max(F.struct("n", "lang")).alias("x")).select("frame", "x.lang", F.col("x.n").alias("told"))
+    distinct = read.select("frame", "s").distinct()
+    frames = cut_lineage(votes.join(distinct.groupBy("frame").agg(F.count("s").alias("readings"), F.min("s").alias("least")), "frame"))
+    sums = {r["lang"]: (r["n"], r["w"]) for r in frames.groupBy("lang").agg(F.count("frame").alias("n"), F.sum(F.sqrt("told")).alias("w")).collect()}
+    model = LanguageModel([], [])
+    if not sums:
+        return model
+    model.languages = sorted(sums)
+    n = len(model.languages)
+    many = sum(c for c, _ in sums.values()) >= 20 * HELD_OUT
+    apart = [x for x, (c, _) in sums.items() if many and c >= 2 * HELD_OUT]
+    number = F.array_position(F.array(*map(F.lit, model.languages)), F.col("lang")).cast("int") - 1
+    # a frame weighs the same in whatever number of readings it is told
+    weight = F.sqrt("told") / F.col("readings") / F.sqrt(F.greatest(F.lit(1.0), F.element_at(F.array(*(F.lit(sums[x][1]) for x in model.languages)), number + 1)))
+    told = frames.select("frame", "least", number.alias("y"), "told", weight.alias("weight"), ((F.pmod(F.xxhash64("frame"), F.lit(HELD_OUT)) == 0) & F.col("lang").isin(apart)).alias("apart"), (1 / F.col("readings")).alias("share"))
+    partitions = max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = F.pmod(F.xxhash64("s"), F.lit(PARTS))
+    each = distinct.join(told, "frame").repartition(partitions, "frame", part).sortWithinPartitions("frame", "s")
+    each = cut_lineage(each.select(F.xxhash64("frame").alias("frame"), "y", "told", "weight", "share", "apart", (F.col("s") == F.col("least")).alias("leads"), "s"))
+
+    def of(batch: pa.RecordBatch | pa.Table) -> Examples:
+        return examples_of(batch["s"].to_pylist(), *(single(batch[c]).to_numpy(zero_copy_only=False) for c in ("frame", "y", "told", "weight", "share")), single(batch["apart"]).to_numpy(zero_copy_only=False).astype(bool))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if some:
+            all_ = pa.Table.from_batches(some)
+            yield from all_.take(pa.array(_landmarks(of(all_), per_language(n)))).combine_chunks().to_batches()
+
+    # landmarks, from one reading of each frame: those of each task, and of them those of all
+    leads = each.filter("leads")
+    marks = _marks(of(leads.mapInArrow(choose, leads.schema).repartition(n, "y").mapInArrow(choose, leads.schema).orderBy("y", "frame", "s").toArrow()))
+    m = marks.shape[1]
+    size = m * m + m * n + 2
+    shared = spark.sparkContext.broadcast(marks)  # tables of a fixed size
+
+    def equations(batch: pa.RecordBatch, first: np.ndarray | None = None) -> np.ndarray:
+        out = np.zeros(size)
+        for part in slices(batch, 7, BATCH_BYTES):
+            x = of(part)
+            some = np.flatnonzero(~_kept(x, first)) if first is not None else None
+            out += _equations(x if some is None else _taken(x, some), shared.value, n) if some is None or len(some) else 0
+        return out
+
+    def likelihoods(batch: pa.RecordBatch) -> np.ndarray:
+        return sum(_likelihoods(of(part), *fits.value) for part in slices(batch, 7, BATCH_BYTES))
+
+    main, rest = each.filter(~F.col("apart")), each.filter("apart")
+    some = _summed(main, equations, size)
+    others = _summed(rest, equations, size) if apart else np.zeros(size)
+    first = _solved(some + others, marks, n, ridge)
+    # more than two votes confirm a label, so only the others are looked at again
+    some -= _summed(main.filter("told <= 2"), lambda b: equations(b, first), size)
+    model.sharpness = 4.0
+    if apart:
+        others -= _summed(rest.filter("told <= 2"), lambda b: equations(b, first), size)
+        fits = spark.sparkContext.broadcast((first, _solved(some, marks, n, ridge)))
+        model.sharpness = _sharpness(_summed(rest, likelihoods, len(FACTORS) + 1))
+    model.table = _solved(some + others, marks, n, ridge)
+    return model
 
 
 def detect_languages(df: DataFrame, model: LanguageModel, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -319,13 +474,13 @@ def detect_languages(df: DataFrame, model: LanguageModel, key: str, text: str, c
     return spread(slim).mapInArrow(run, schema)
 
 
-def listing_languages(walmart: DataFrame, amazon: DataFrame, cache: DataFrame, fit_texts: int = FIT_TEXTS) -> DataFrame:
+def listing_languages(walmart: DataFrame, amazon: DataFrame, cache: DataFrame) -> DataFrame:
     """(listing, label, lang, confidence, segments) of every description of both tables, one model over both."""
     a = amazon.select(F.concat(F.lit("amazon:"), "row_id").alias("listing"), F.array_join(F.transform("description", lambda x: F.coalesce(x, F.lit(""))), "\n").alias("text"), "asin")
     w = walmart.select(F.concat(F.lit("walmart:"), "item_id").alias("listing"), F.col("description").alias("text"), F.col("lang").alias("label"))
     a = a.join(cache.select("asin", F.col("lang").alias("label")), "asin", "left").select("listing", "text", "label")
     both = a.unionByName(w)
-    model = fit_languages(both.select("text", F.col("label").alias("lang")), fit_texts)
+    model = fit_languages(both.select("text", F.col("label").alias("lang")))
     return detect_languages(both, model, "listing", "text", ("label",))
 
 

@@ -375,6 +375,27 @@ def test_rare_languages_and_short_sentences_are_learnt(spark):
     assert [model.languages[i] for i in scores.argmax(1)] == ["ja", "ru", "en"]
 
 
+def test_every_labelled_text_is_learnt(spark):
+    """More texts than the 6,000 of the least hash that were once drawn; one language is told behind those alone."""
+    rng = random.Random(5)
+    en = "the red lamp stands beside our old wooden table and a small green shelf".split()
+    texts = [(" ".join(rng.sample(en, 7)).capitalize() + f" {i}.", "en") for i in range(6200)]
+    last = spark.range(400).select(F.concat(F.lit("Лампа номер "), "id", F.lit(" стоит на столе.")).alias("text")).orderBy(F.xxhash64("text").desc()).first().text
+    model = languages.fit_languages(spark.createDataFrame([*texts, (last, "ru")], "text string, lang string"))
+    assert model.languages == ["en", "ru"]
+    scores, _ = model.scores(["Старая лампа стоит.", "Our old table stands."])
+    assert [model.languages[i] for i in scores.argmax(1)] == ["ru", "en"]
+
+
+def test_readings_that_stand_together_are_added_up_once():
+    texts = [f"The {name} stands beside {i} old tables." for i, name in enumerate("Bavo Keru Limo Nasu Podi".split())] + ["Die Lampe steht.", "", "Alt."]
+    n = len(texts)
+    rest = [np.ones(n)] * 4 + [np.zeros(n, bool)]
+    table = np.random.default_rng(1).random((1 << languages.BITS, 3)).astype(np.float32)
+    together, apart = (languages._products(languages.examples_of(texts, np.array(f), *rest), table) for f in ([0] * 5 + [1, 2, 3], range(n)))
+    assert np.allclose(together, apart, atol=1e-4)
+
+
 def test_confidences_are_calibrated():
     rng = random.Random(4)
     words = {"en": "the red lamp stands beside our old wooden table and it".split(), "de": "die rote lampe steht neben unserem alten tisch und er".split()}
