@@ -20,6 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,11 +179,21 @@ def _landmarks(x: Examples, most: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _marks(x: Examples) -> np.ndarray:
-    marks = np.zeros((1 << BITS, len(x.y)), np.float32)
-    marks[x.slot, x.owner] = 1
-    marks /= np.sqrt(x.size)
-    return marks
+class Landmarks:
+    """The landmarks' unit vectors, a column each."""
+
+    def __init__(self, x: Examples):
+        self.__setstate__((x.owner.astype(np.int32), x.slot.astype(np.int32), x.size))
+
+    def __getstate__(self) -> tuple:
+        """Only the n-grams are sent to the tasks: the matrix is nearly empty, and every executor would hold it on disk."""
+        return self.owner, self.slot, self.size
+
+    def __setstate__(self, state: tuple) -> None:
+        self.owner, self.slot, self.size = state
+        self.marks = np.zeros((1 << BITS, len(self.size)), np.float32)
+        self.marks[self.slot, self.owner] = 1
+        self.marks /= np.sqrt(self.size)
 
 
 def _kept(x: Examples, table: np.ndarray) -> np.ndarray:
@@ -240,7 +251,7 @@ class LanguageModel:
         apart = np.arange(len(labels)) % HELD_OUT == 0 if len(labels) >= 20 * HELD_OUT else one < 0
         weight = np.sqrt(told) / np.sqrt(np.maximum(1, np.bincount(y, np.sqrt(told), minlength=n)))[y]
         x = examples_of(sentences, np.arange(len(labels)), y, told, weight, one, apart)
-        marks = _marks(_taken(x, _landmarks(x, per_language(n, landmarks))))
+        marks = Landmarks(_taken(x, _landmarks(x, per_language(n, landmarks)))).marks
         main, rest = _taken(x, np.flatnonzero(~apart)), _taken(x, np.flatnonzero(apart))
         some, others = _equations(main, marks, n), _equations(rest, marks, n)
         first = _solved(some + others, marks, n, ridge)
@@ -404,33 +415,37 @@ def fit_languages(labelled: DataFrame, ridge: float = RIDGE) -> LanguageModel:
 
     # landmarks, from one reading of each frame: those of each task, and of them those of all
     leads = each.filter("leads")
-    marks = _marks(of(leads.mapInArrow(choose, leads.schema).repartition(n, "y").mapInArrow(choose, leads.schema).orderBy("y", "frame", "s").toArrow()))
+    chosen = Landmarks(of(leads.mapInArrow(choose, leads.schema).repartition(n, "y").mapInArrow(choose, leads.schema).orderBy("y", "frame", "s").toArrow()))
+    marks = chosen.marks
     m = marks.shape[1]
     size = m * m + m * n + 2
-    shared = spark.sparkContext.broadcast(marks)  # tables of a fixed size
+    shared = spark.sparkContext.broadcast(chosen)  # of a fixed size, as the tables below
 
-    def equations(batch: pa.RecordBatch, first: np.ndarray | None = None) -> np.ndarray:
+    def equations(batch: pa.RecordBatch, first: Broadcast | None = None) -> np.ndarray:
         out = np.zeros(size)
         for part in slices(batch, 7, BATCH_BYTES):
             x = of(part)
-            some = np.flatnonzero(~_kept(x, first)) if first is not None else None
-            out += _equations(x if some is None else _taken(x, some), shared.value, n) if some is None or len(some) else 0
+            some = np.flatnonzero(~_kept(x, first.value)) if first is not None else None
+            out += _equations(x if some is None else _taken(x, some), shared.value.marks, n) if some is None or len(some) else 0
         return out
 
     def likelihoods(batch: pa.RecordBatch) -> np.ndarray:
-        return sum(_likelihoods(of(part), *fits.value) for part in slices(batch, 7, BATCH_BYTES))
+        return sum(_likelihoods(of(part), first.value, fitted.value) for part in slices(batch, 7, BATCH_BYTES))
 
     main, rest = each.filter(~F.col("apart")), each.filter("apart")
     some = _summed(main, equations, size)
     others = _summed(rest, equations, size) if apart else np.zeros(size)
-    first = _solved(some + others, marks, n, ridge)
+    first = spark.sparkContext.broadcast(_solved(some + others, marks, n, ridge))
     # more than two votes confirm a label, so only the others are looked at again
     some -= _summed(main.filter("told <= 2"), lambda b: equations(b, first), size)
     model.sharpness = 4.0
     if apart:
         others -= _summed(rest.filter("told <= 2"), lambda b: equations(b, first), size)
-        fits = spark.sparkContext.broadcast((first, _solved(some, marks, n, ridge)))
+        fitted = spark.sparkContext.broadcast(_solved(some, marks, n, ridge))
         model.sharpness = _sharpness(_summed(rest, likelihoods, len(FACTORS) + 1))
+        fitted.destroy()
+    first.destroy()
+    shared.destroy()
     model.table = _solved(some + others, marks, n, ridge)
     return model
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pickle
 import random
 import unicodedata
 
@@ -387,6 +388,26 @@ def test_every_labelled_text_is_learnt(spark):
     assert [model.languages[i] for i in scores.argmax(1)] == ["ru", "en"]
 
 
+def test_what_the_fit_sends_is_small(spark, monkeypatch):
+    """Every executor writes what is sent to its disk; the landmarks as a full matrix took 81 MB there."""
+    rng = random.Random(6)
+    words = {"en": "the red lamp stands beside our old wooden table and a small green shelf".split(), "de": "die rote Lampe steht neben unserem alten Tisch und einem kleinen Regal".split()}
+    rows = [(" ".join(rng.sample(words[x], 7)) + ".", x) for x in ("en", "de") for _ in range(500)]
+    sent, broadcast = [], spark.sparkContext.broadcast
+
+    def send(value):
+        sent.append((value, pickle.dumps(value), broadcast(value)))
+        return sent[-1][2]
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", send)
+    languages.fit_languages(spark.createDataFrame(rows, "text string, lang string"))
+    assert sum(len(p) for _, p, _ in sent) < 5_000_000
+    assert not any(os.path.exists(b._path) for *_, b in sent)
+    marks = next(v for v, *_ in sent if isinstance(v, languages.Landmarks)).marks
+    assert marks.shape[1] > 500 and np.allclose((marks**2).sum(0), 1, atol=1e-5)
+    assert (pickle.loads(sent[0][1]).marks == marks).all()
+
+
 def test_readings_that_stand_together_are_added_up_once():
     texts = [f"The {name} stands beside {i} old tables." for i, name in enumerate("Bavo Keru Limo Nasu Podi".split())] + ["Die Lampe steht.", "", "Alt."]
     n = len(texts)
