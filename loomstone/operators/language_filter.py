@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import cut_lineage, spread
 
 #: Common function words by language.
 PROFILES = {
@@ -28,13 +28,8 @@ EVERY = sorted({w for words in PROFILES.values() for w in words})
 LONGEST = max(map(len, EVERY))
 
 
-def _array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def _hits(words: str, of: list[str]) -> Column:
-    known = _array(sorted(set(of)))
-    return F.size(F.filter(words, lambda w: F.array_contains(known, w)))
+    return F.size(F.filter(words, lambda w: w.isin(sorted(set(of)))))  # Catalyst makes a hash set of it
 
 
 def detected(df: DataFrame, text: str) -> DataFrame:
@@ -53,7 +48,7 @@ def detected(df: DataFrame, text: str) -> DataFrame:
     # one of several equal ones: the first of the scripts, and of the languages by code
     df = df.withColumn("_s", F.array_max(F.array(*[F.struct(c.cast("bigint").alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, c) in enumerate(n.items())])))
     script = (F.col("_s.hits") > 0) & (F.col("_s.hits") >= F.coalesce("_n.latin", F.lit(0)))
-    df = df.withColumn("_w", F.when(~script, F.filter(F.split(F.lower("_x"), r"[^\p{L}]+"), lambda w: (F.length(w) <= LONGEST) & F.array_contains(_array(EVERY), w))))
+    df = df.withColumn("_w", F.when(~script, F.filter(F.split(F.lower("_x"), r"[^\p{L}]+"), lambda w: (F.length(w) <= LONGEST) & w.isin(EVERY))))
     df = df.withColumn("_said", F.array_max(F.array(*[F.struct(_hits("_w", PROFILES[lang]).cast("bigint").alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, lang in enumerate(sorted(PROFILES))])))
     told = F.when(script, F.col("_s")).otherwise(F.col("_said"))
     out = df.withColumn("_lang", F.when(told["hits"] > 0, told["lang"]).otherwise(F.lit(UNKNOWN))).withColumn("_hits", told["hits"])
@@ -74,4 +69,9 @@ def fill_from_cache(df: DataFrame, cache: DataFrame, key: str, text: str) -> Dat
 
 
 def keep_language(df: DataFrame, lang: DataFrame, key: str, wanted: str = "en") -> DataFrame:
-    return df.join(lang.filter(F.col("lang") == wanted).select(key), key, "left_semi")
+    """Rows of ``df`` whose language is ``wanted``.
+
+    The languages are written first: a filter on them would be pushed into the detection, whose columns it would repeat
+    in each other's place, so that every word list is read over and over.
+    """
+    return df.join(cut_lineage(lang.select(key, "lang")).filter(F.col("lang") == wanted).select(key), key, "left_semi")

@@ -53,3 +53,8 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.queries()["curated_source_counts"](spark, SF).columns == ["source", "n"]
+
+
+def test_a_language_is_told_once_a_text(spark):
+    plan = QUERIES["keep_english"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 10  # a filter on the language would repeat them in each other's place
