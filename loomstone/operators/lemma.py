@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,18 +62,23 @@ def verb_bases(word: str) -> list[str]:
     return noun_bases(word)
 
 
-def lemma(word: str, known: set[str] | frozenset[str] | dict | None = None, pos: str | None = None) -> str:
+def fixed(word: str, pos: str | None) -> str | None:
+    """The lemma that the lists give, whatever the vocabulary; null if they don't tell."""
+    if pos == "v" and word in IRREGULAR_VERBS:
+        return IRREGULAR_VERBS[word]
+    if word in IRREGULAR and not (pos == "n" and word in IRREGULAR_VERBS):
+        return IRREGULAR[word]
+    return word if word in WHOLE else None
+
+
+def lemma(word: str, known: set[str] | frozenset[str] | dict | tuple | None = None, pos: str | None = None) -> str:
     """The base of a word; ``pos`` is ``n`` or ``v`` where the word before tells it.
 
     With ``known`` words the base of a verb must be one of them; a plural without a known base loses its ending. Without
     ``known`` it is the likeliest base.
     """
-    if pos == "v" and word in IRREGULAR_VERBS:
-        return IRREGULAR_VERBS[word]
-    if word in IRREGULAR and not (pos == "n" and word in IRREGULAR_VERBS):
-        return IRREGULAR[word]
-    if word in WHOLE:
-        return word
+    if (told := fixed(word, pos)) is not None:
+        return told
     bases = noun_bases(word) if pos == "n" else verb_bases(word)
     for base in bases:
         if known is None or base in known:
@@ -84,12 +90,12 @@ def part_of_speech(before: str | None) -> str | None:
     return "v" if before in BEFORE_VERB else "n" if before in BEFORE_NOUN else None
 
 
-def _lemmas(row: list[str], known: frozenset[str] | dict | None, memo: dict) -> list[str]:
+def _lemmas(row: list[str], memo: dict) -> list[str]:
     out, before = [], None
     for t in row:
         at = (t, part_of_speech(before))
         if at not in memo:
-            memo[at] = lemma(t, known, at[1])
+            memo[at] = lemma(t, None, at[1])
         out.append(memo[at])
         before = t
     return out
@@ -99,7 +105,7 @@ def _lemmas(row: list[str], known: frozenset[str] | dict | None, memo: dict) ->
 def lemmatise(tokens: pd.Series) -> pd.Series:
     """Each token's lemma by rules alone, in order; null for null."""
     memo: dict = {}
-    return tokens.map(lambda row: None if row is None else _lemmas(list(row), None, memo))
+    return tokens.map(lambda row: None if row is None else _lemmas(list(row), memo))
 
 
 def vocabulary_words(df: DataFrame, tokens: str, least: int = 2) -> DataFrame:
@@ -107,24 +113,84 @@ def vocabulary_words(df: DataFrame, tokens: str, least: int = 2) -> DataFrame:
     return df.select(F.explode(tokens).alias("form")).filter(F.col("form").rlike("^[a-z]{2,}$")).groupBy("form").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
-def lemmatise_known(df: DataFrame, key: str, tokens: str, words: DataFrame, most: int = 1_000_000) -> DataFrame:
+#: Readings of a word, in the order of the columns of ``readings``.
+READINGS = (None, "n", "v")
+_READING = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("i", T.IntegerType()), T.StructField("lemma", T.StringType()), T.StructField("sure", T.BooleanType())])
+
+
+def _candidates(word: str) -> list[tuple[int, int, str, bool]]:
+    """(reading, rank, lemma, needs no confirmation) of all that ``lemma`` may make of a word, in their order."""
+    out = []
+    for at, pos in enumerate(READINGS):
+        if (told := fixed(word, pos)) is not None:
+            out.append((at, 0, told, True))
+        elif bases := noun_bases(word) if pos == "n" else verb_bases(word):
+            out += [(at, i, base, False) for i, base in enumerate(bases)] + [(at, len(bases), lemma(word, (), pos), True)]
+    return out
+
+
+@F.pandas_udf(T.ArrayType(_READING))
+def _readings(forms: pd.Series) -> pd.Series:
+    return forms.map(_candidates)
+
+
+def _may_change(form: Column) -> Column:
+    return form.endswith("s") | form.endswith("ed") | form.endswith("ing") | form.isin(sorted(IRREGULAR.keys() | IRREGULAR_VERBS.keys()))
+
+
+def readings(df: DataFrame, tokens: str, words: DataFrame) -> DataFrame:
+    """(form, base, noun, verb): the lemmas of the words of ``df`` that have another one than themselves in any reading."""
+    forms = df.select(F.explode(tokens).alias("form")).filter(_may_change(F.col("form"))).distinct()
+    every = forms.select("form", F.explode(_readings("form")).alias("_r")).select("form", "_r.*")
+    known = words.select(F.col("form").alias("lemma")).distinct().withColumn("known", F.lit(True))
+    told = every.join(known, "lemma", "left").filter(F.col("sure") | F.col("known"))
+    of = [F.min_by(F.when(F.col("at") == at, F.col("lemma")), F.when(F.col("at") == at, F.col("i"))) for at in range(len(READINGS))]
+    told = told.groupBy("form").agg(*[c.alias(name) for c, name in zip(of, ("base", "noun", "verb"), strict=True)])
+    told = told.select("form", *[F.coalesce(name, "form").alias(name) for name in ("base", "noun", "verb")])
+    return told.filter((F.col("base") != F.col("form")) | (F.col("noun") != F.col("form")) | (F.col("verb") != F.col("form")))
+
+
+def lemmatise_known(df: DataFrame, key: str, tokens: str, words: DataFrame, most: int | None = None, sent: int = 1_000_000) -> DataFrame:
     """(key, tokens): lemmas that the vocabulary ``words`` (form) confirms; null stays null.
 
-    Up to ``most`` words, which are counted first, go to the tasks. Of a longer list only those that are a base of some
-    form of it are met by a join of forms, which reads each word by its likeliest part of speech.
+    Each word that isn't its own lemma is read once, for any vocabulary. Up to ``sent`` such words go to the tasks, more
+    are met by a join of forms, with the same result. A caller that gives ``most`` asks for ``dictionary``, which reads
+    each word by its likeliest part of speech, where the vocabulary is longer than that.
     """
-    forms = cut_lineage(words.select("form").distinct())  # counted and read
-    if forms.count() <= most:
-        known = df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in forms.toLocalIterator()))
-        kind = df.schema[key].dataType.simpleString()
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            memo: dict = {}
-            for pdf in batches:
-                yield pd.DataFrame({key: pdf[key], tokens: pdf[tokens].map(lambda row: None if row is None else _lemmas(list(row), known.value, memo))})
-
-        return spread(df.select(key, tokens)).mapInPandas(run, f"`{key}` {kind}, `{tokens}` array<string>")
-    return lemmatise_by(df, key, tokens, dictionary(forms))
+    if most is not None and (forms := cut_lineage(words.select("form").distinct())).count() > most:
+        return lemmatise_by(df, key, tokens, dictionary(forms))
+    table = cut_lineage(readings(df, tokens, words))  # counted and read
+    if table.count() > sent:
+        return _lemmatise_joined(df, key, tokens, table)
+    known = df.sparkSession.sparkContext.broadcast({r[0]: tuple(r[1:]) for r in table.toLocalIterator()})
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = known.value.get
+        at = dict.fromkeys(BEFORE_VERB, 2) | dict.fromkeys(BEFORE_NOUN - BEFORE_VERB, 1)
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            for row in rows:
+                before = None
+                for i, t in enumerate(row or ()):
+                    if (told := read(t)) is not None:
+                        row[i] = told[at.get(before, 0)]
+                    before = t
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], names=[key, tokens])
+
+    return spread(df.select(key, tokens)).mapInArrow(run, f"`{key}` {kind}, `{tokens}` array<string>")
+
+
+def _lemmatise_joined(df: DataFrame, key: str, tokens: str, table: DataFrame) -> DataFrame:
+    """The same by a join; the rows are numbered first, so that equal or null keys stay apart."""
+    rows = cut_lineage(df.select(key, tokens).withColumn("_row", F.monotonically_increasing_id()))
+    t = F.col(tokens)
+    pairs = F.transform(t, lambda x, i: F.struct(i.alias("i"), x.alias("form"), F.when(i > 0, F.get(t, i - 1)).alias("before")))
+    placed = rows.select("_row", F.explode(pairs).alias("_p")).select("_row", "_p.*")
+    verb, noun = F.col("before").isin(sorted(BEFORE_VERB)), F.col("before").isin(sorted(BEFORE_NOUN))
+    found = F.coalesce(F.when(verb, F.col("verb")).when(noun, F.col("noun")).otherwise(F.col("base")), F.col("form"))
+    read = placed.join(table, "form", "left").select("_row", "i", found.alias("t")).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("_t"))
+    return rows.join(read, "_row", "left").select(key, F.coalesce(F.transform("_t", lambda x: x["t"]), t).alias(tokens))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -72,7 +72,7 @@ def vocabulary_stage(clean: DataFrame, cache: DataFrame, key: str = "asin", leas
     clean = cut_lineage(R.brand_policy(clean, "main_cat", "brand"))
     lang = fill_from_cache(clean.select(key, "text"), cache, key, "text")
     plain = cut_lineage(tokenise(keep_language(clean, lang, key)).select(key, "main_cat", "brand", "tokens"))
-    words = L.vocabulary_words(plain, "tokens")
+    words = cut_lineage(L.vocabulary_words(plain, "tokens"))
     lemmas = L.lemmatise_known(plain, key, "tokens", words)
     df = cut_lineage(plain.drop("tokens").join(lemmas, key).withColumn("tokens", K.drop_stopwords("tokens")))
     best = P.top_half(P.pmi(df, "tokens", "main_cat", least), "main_cat").select(F.array("a", "b").alias("phrase"))

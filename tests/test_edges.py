@@ -221,6 +221,19 @@ def test_lemmas_that_the_corpus_confirms(spark):
     assert joined[1] == ["the", "build", "is", "build", "wall"] and joined[2] == got[2]
 
 
+def test_lemmas_do_not_depend_on_the_size(spark):
+    said = "the building is building walls to leave left leaves she washes the washes was running hoped hopped strings agreed it lives their lives making boxes mice".split()
+    df = spark.createDataFrame([(1, said), (2, said[::-1]), (3, None), (4, []), (4, ["is", "building"])], "id int, tokens array<string>")
+    for list_ in (["build", "wall", "wash", "hope", "hop", "make"], ["building", "washe", "strings", "run", "boxe"], []):
+        words = spark.createDataFrame([(w,) for w in list_], "form string")
+        want = []
+        for i, row in [(1, said), (2, said[::-1]), (4, []), (4, ["is", "building"])]:
+            want.append((i, [L.lemma(w, frozenset(list_), L.part_of_speech(b)) for b, w in zip([None, *row], row)]))
+        for sent in (1_000_000, 0):
+            got = [(r.id, r.tokens) for r in L.lemmatise_known(df, "id", "tokens", words, sent=sent).collect()]
+            assert (3, None) in got and sorted(x for x in got if x[0] != 3) == sorted(want)
+
+
 def test_partitions_keep_their_text(spark, tmp_path):
     df = spark.createDataFrame([(1, "007"), (2, "x/y & z"), (3, "7")], "id int, main_cat string")
     assert io.checkpoint(df, str(tmp_path / "p")) >= 3
