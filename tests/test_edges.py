@@ -276,6 +276,14 @@ def test_halving_ends_on_the_whole_table(spark, monkeypatch):
     assert asked["first"] >= 1000 and set(asked["kinds"]) == {"svm", "log", "sgd"}
 
 
+def test_a_small_rung_is_a_task(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M, "_scored", lambda setting, train, test: seen.append((train.rdd.getNumPartitions(), train.count() + test.count())) or 0.5)
+    df = spark.range(5000).selectExpr("id", "'a' text", "if(id % 2 = 0, 'x', 'y') label").repartition(16)
+    M.halving_search(df, "id", grid=3, first=500)
+    assert seen[-1] == (3, 5000) and all(k == 1 for k, n in seen[:-1])
+
+
 def test_smooth_idf_is_idf_plus_one(spark):
     df = spark.createDataFrame([(1, "aa bb", ["aa", "bb"]), (2, "aa cc", ["aa", "cc"])], "id int, text string, tokens array<string>")
     long = {(r.id, r.term): r.weight for r in V.tfidf(df, "id", "tokens").collect()}
